@@ -2,7 +2,8 @@
 
 Two zstandard dictionaries are trained on good and on bad labelled texts. Every whole text is compressed with either, in
 independent blocks of BLOCK bytes (in longer ones a text's own beginning would outweigh the dictionary). The difference of the
-sizes over their sum (plus STEADY bytes, so that a few words decide little) goes through a logistic curve that is fitted on labelled texts the dictionaries haven't seen.
+sizes over their sum (plus STEADY bytes, so that a few words decide little) goes through a logistic curve that is fitted on labelled texts the dictionaries haven't seen
+and on short cuts of them.
 
 Fitting takes about per_class texts of each class of at most max_chars characters, with a hash of doc_id that isn't 0 modulo
 FOLDS; all else is a single pass over the documents in bounded memory.
@@ -91,7 +92,12 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
         except zstandard.ZstdError:  # too little to find common parts in: the texts themselves are the dictionary
             dictionaries.append(zstandard.ZstdCompressionDict(b"\n".join(seen)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT).as_bytes())
     scorer = Scorer(Model(*dictionaries, 1.0, 0.0))
-    unseen = [(scorer.difference(t), y) for y, texts in by.items() for t in texts[len(texts) * 3 // 4 :]]
+    rng = np.random.default_rng(2)
+    unseen = []
+    for y, texts in by.items():
+        for t in texts[len(texts) * 3 // 4 :]:  # the whole text, and a short cut of it: short texts count as much in the fit
+            at, size = int(rng.integers(0, max(1, len(t) - 20))), int(rng.integers(10, 300))
+            unseen += [(scorer.difference(t), y), (scorer.difference(t[at : at + size]), y)]
     x, y = (np.array(v, float) for v in zip(*unseen, strict=True))
     weight = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) * len(y) / 2
     return Model(*dictionaries, *logistic(x, y, weight))
