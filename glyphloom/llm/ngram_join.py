@@ -13,9 +13,10 @@ H + 1 + k. Of two sets that link, k + 1 of the undivided segments agree at least
        hasn't seen, packed by target partition. Empty segments count against k and are left out unless a set has more of them.
     2  A target partition sorts its signatures. Buckets of up to CAP sets give pairs with the number of agreeing segments;
        larger (hot) buckets give the list of their sets.
-    3  A pair is a candidate if its agreeing segments number k + 1, less the empty and the hot ones that either set has. Sets
-       whose empty and hot segments leave nothing of that (over-hot ones) can only miss each other: in every hot bucket they
-       are compared with the smallest, and then, across the components found so far, with each other.
+    3  A pair is a candidate if its agreeing segments number k + 1, less the empty and the hot ones that either set has. Hot
+       buckets matter only for sets that have more hot segments than k spares; these sets, and no others, are also met by
+       their rarest shingles, as many as the linked can't miss each other in. The holders of such a shingle are compared with
+       the smallest of them, and then, across the components found so far, with each other.
     4  Candidates are verified on the shingle sets of their whole texts; components of verified links give the result.
 
 Nothing is dropped: a pair that no bucket shows is one that can't link. Equal sets share one node from the start, so
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, text_bytes, words_of, written
@@ -43,7 +44,9 @@ from .components import components
 
 WORDS, PERCENT, CAP = 5, 75, 16
 #: Share of H by which k exceeds what empty segments need, for hot segments.
-SPARE = 0.05
+SPARE = 0.08
+#: What a set costs, in signatures, in a band with divided segments, where hot segments can't be spared.
+HOT_COST = 40
 #: Links of one set that a group verifies at once.
 CHUNK_LINKS = 128
 HASH = SpanHash(fold_case=True, seed=4)
@@ -109,11 +112,12 @@ def allocate(sizes: dict[int, int], largest: int, percent: int = PERCENT) -> Ban
                 n0 = m - n1
                 if m < 1:
                     continue
-                empty = n0 * math.exp(-lo / m)
-                if n0 and k < empty + 3.5 * math.sqrt(empty) + SPARE * h:
+                none = math.exp(-lo / m)
+                empty, spread = n0 * none, math.sqrt(n0 * none * max(0.0, 1 - (1 + lo / m) * none))
+                if n0 and k < empty + 3.5 * spread + SPARE * h:
                     continue
                 per = n0 * (1 - math.exp(-s / m)) + n1 * (1 + s / m)
-                cost = n * per + n1 * (n * math.exp(-s / m)) ** 2 / 2
+                cost = n * per + n1 * (n * math.exp(-s / m)) ** 2 / 2 + (n1 > 0) * n * HOT_COST
                 if best is None or cost < best[0]:
                     best = (cost, m, n1, k if n0 else 0)
                 break
@@ -135,7 +139,9 @@ def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> It
         if not len(which):
             continue
         band = band[which]
-        m, n1, k = bands.m[band], bands.n1[band], bands.k[band]
+        m, n1 = bands.m[band], bands.n1[band]
+        most = np.minimum(size[which] * 100 // percent, bands.low[band + 1] - 1 if back else 1 << 62)  # of a partner here
+        k = m + n1 - 1 - (size[which] + most) * (100 - percent) // (100 + percent)  # at least the band's k
         base = np.cumsum(m) - m
         row = np.full(len(size), -1)
         row[which] = np.arange(len(which))
@@ -238,9 +244,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     dealt, _ = written(pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), "chunks").alias("chunk")), "dealt")
     roles = dealt.select(F.col("v").alias("node"), "u", "chunk").union(dealt.select(F.col("u").alias("node"), "u", "chunk").distinct())
     roles, _ = written(roles.join(reps, "node"), "roles")
-    if roles.count() * 40 <= BROADCAST_BYTES:
-        roles = F.broadcast(roles)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(roles, "doc_id").select("node", "u", "chunk", "text")
+    rows = of_nodes(docs, roles).select("node", "u", "chunk", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,6 +274,37 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     return out
 
 
+def of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Texts of nodes' documents: nodes (node, doc_id, ...) with text. Only the ids move where they are few."""
+    few = nodes.count() * 40 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id")
+
+
+def shingle_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, n, list) for every shingle of the nodes' documents."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            for i, j in runs(offsets):
+                h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                part = pa.record_batch([b.column("node").slice(i, j - i), pa.array(np.diff(cut)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], ["node", "n", "lists"])
+                yield part.filter(pa.array(node_of(h, cut).view(np.int64) == part.column("node").to_numpy()))
+
+    rows = of_nodes(docs, nodes).select("node", "text").mapInArrow(sets, "node long, n long, lists array<long>")
+    return rows.dropDuplicates(["node"]).select("node", "n", F.explode("lists").alias("list"))
+
+
+def rarest(tokens: DataFrame, percent: int) -> DataFrame:
+    """Of each set's shingles, rarest first, as many as two linked sets can't miss each other in; those of one set alone are left out."""
+    held = tokens.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
+    shared = tokens.join(held, "list")
+    order = Window.partitionBy("node").orderBy("held", "list")
+    whole = Window.partitionBy("node")
+    place = F.row_number().over(order) + F.col("n") - F.count("*").over(whole)
+    return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n")
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (verified links of its set)."""
     spark = docs.sparkSession
@@ -332,35 +367,38 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     lists, at = written(dealt.mapInArrow(met, LISTS), "buckets")
     release(spark)
     reps = live.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    hot = lists.where("kind = 'list'")
-    entries = hot.select("band", "n", F.explode(F.arrays_zip("members", "spares")).alias("e")).select("band", "n", F.col("e.members").alias("node"), F.col("e.spares").alias("spare"))
-    heat = entries.groupBy("node", "band").agg(F.sum("n").alias("hot"), F.min("spare").alias("spare"))
-    heat, _ = written(heat, "heat")
+    hot = lists.where("kind = 'list'").groupBy(F.xxhash64("band", "members").alias("list")).agg(F.sum("n").alias("n"), F.first("band").alias("band"), F.first("members").alias("members"), F.first("spares").alias("spares"))
+    entries = hot.select("list", "band", "n", F.size("members").alias("size"), F.explode(F.arrays_zip("members", "spares")).alias("e")).select("list", "band", "n", "size", F.col("e.members").alias("node"), F.col("e.spares").alias("spare"))
+    entries, _ = written(entries, "entries")
+    heat, _ = written(entries.groupBy("node", "band").agg(F.sum("n").alias("hot"), F.min("spare").alias("spare")), "heat")
     pairs = lists.where("kind = 'pair'").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.min("spare_a").alias("spare_a"), F.min("spare_b").alias("spare_b"))
     for end in ("a", "b"):
         own = heat.select(F.col("node").alias(end), "band", F.col("hot").alias(f"hot_{end}"))
         pairs = pairs.join(own, [end, "band"], "left")
     needed = F.greatest(*(F.col(f"spare_{e}") + 1 - F.coalesce(f"hot_{e}", F.lit(0)) for e in "ab"), F.lit(1))
     candidates = pairs.where(F.col("n") >= needed).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    over = heat.where("spare + 1 - hot <= 0").select("node", "band")
-    distinct = hot.groupBy(F.xxhash64("band", "members").alias("list")).agg(F.first("band").alias("band"), F.first("members").alias("members"))
-    listed = distinct.select("list", "band", F.explode("members").alias("node")).join(over, ["node", "band"])
-    listed, _ = written(listed.select("list", "node"), "listed")
-    hubs = listed.groupBy("list").agg(F.min("node").alias("u"), F.count("*").alias("size")).where("size > 1")
-    stars = listed.join(hubs, "list").where("node <> u").select("u", F.col("node").alias("v"))
-    found = verified(candidates.union(stars), plain, reps, words, percent)
-    labels = components(found)
-    if listed.take(1):
-        of = listed.join(labels, "node", "left").select("list", "node", F.coalesce("component", "node").alias("component"))
+    # in one order of all buckets, small ones first, a set's last `spare` segments are left out; the first that two linked sets share is not among them
+    order = Window.partitionBy("node", "band").orderBy(F.desc("size"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
+    over, _ = written(entries.withColumn("so_far", F.sum("n").over(order)).where("so_far > spare").select("node").distinct().join(reps, "node"), "over")
+    found = verified(candidates, plain, reps, words, percent)
+    if over.take(1):
+        tokens, _ = written(shingle_rows(plain, over, words), "shingles")
+        prefix, _ = written(rarest(tokens, percent), "prefix")
+        hubs = prefix.groupBy("list").agg(F.min("node").alias("u"))
+        stars, _ = written(prefix.join(hubs, "list").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
+        found, _ = written(found.union(verified(stars.join(candidates, ["u", "v"], "left_anti"), plain, reps, words, percent)), "found")
+        labels = components(found)
+        of = prefix.join(labels, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"))
         mixed = of.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("list")
         mixed, _ = written(of.join(mixed, "list"), "mixed")
-        other = mixed.select("list", F.col("node").alias("v"), F.col("component").alias("c2"))
-        rest = mixed.join(other, "list").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("c2"))).select(F.col("node").alias("u"), "v").distinct()
-        rest = rest.join(stars.union(candidates), ["u", "v"], "left_anti")
-        rest, _ = written(rest, "rest")
+        other = mixed.select("list", F.col("node").alias("v"), F.col("component").alias("c2"), F.col("n").alias("n2"))
+        near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+        rest = mixed.join(other, "list").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("c2")) & near).select(F.col("node").alias("u"), "v").distinct()
+        rest, _ = written(rest.join(stars.union(candidates), ["u", "v"], "left_anti"), "rest")
         if rest.take(1):
             found, _ = written(found.union(verified(rest, plain, reps, words, percent)), "found")
-            labels = components(found)
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    labels = components(found)
     degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = slim.join(labels, "node", "left").join(degree, "node", "left")
     named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
