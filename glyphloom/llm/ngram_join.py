@@ -302,7 +302,7 @@ def rarest(tokens: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("held", "list")
     whole = Window.partitionBy("node")
     place = F.row_number().over(order) + F.col("n") - F.count("*").over(whole)
-    return shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n")
+    return shared.withColumn("place", place).withColumn("middle", F.sum("held").over(whole) / F.col("n")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n", "middle")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
@@ -384,7 +384,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     if over.take(1):
         tokens, _ = written(shingle_rows(plain, over, words), "shingles")
         prefix, _ = written(rarest(tokens, percent), "prefix")
-        hubs = prefix.groupBy("list").agg(F.min("node").alias("u"))
+        # the holder whose shingles are the most frequent on average is nearest to the middle of a group
+        hubs = prefix.groupBy("list").agg(F.max_by("node", F.struct("middle", "node")).alias("u"))
         stars, _ = written(prefix.join(hubs, "list").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
         found, _ = written(found.union(verified(stars.join(candidates, ["u", "v"], "left_anti"), plain, reps, words, percent)), "found")
         labels = components(found)
