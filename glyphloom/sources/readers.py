@@ -27,7 +27,7 @@ def matrix_market(spark: SparkSession, folder: str, suffix: str = "") -> DataFra
     entries = lines.select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("c"), parts[2].cast("double").alias("value"))
 
     def names(file: str, name: str, column: int) -> DataFrame:
-        rows = spark.read.option("wholetext", True).text(f"{folder}/{file}{suffix}").select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("i", "line"))
+        rows = spark.read.text(f"{folder}/{file}{suffix}", wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\r?\n")).alias("i", "line"))
         return rows.select((F.col("i") + 1).cast("long").alias(name[0]), F.split("line", "\t")[column].alias(name))
 
     # the line of dimensions is the first one: its numbers are the files' lengths, and it is the only one for that pair unless the last entry is stored
