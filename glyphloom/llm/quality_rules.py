@@ -61,9 +61,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     symbols = _sums(IS_SYMBOL[data], offsets)
     # lines: between newlines and the edges of texts
     breaks = np.flatnonzero(data == 10)
-    first = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
-    text = np.concatenate([np.arange(n), np.searchsorted(offsets, breaks, "right") - 1])
-    text = text[np.argsort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")]
+    first = np.concatenate([breaks + 1, offsets[:-1]])  # a line after a text's last newline comes before the next text's first
+    order = np.argsort(first, kind="stable")
+    first, text = first[order], np.concatenate([np.searchsorted(offsets, breaks, "right") - 1, np.arange(n)])[order]
     line_end = np.sort(np.concatenate([breaks, offsets[1:]]))
     worded = np.searchsorted(starts, line_end) > np.searchsorted(starts, first)
     first, line_end, text = first[worded], line_end[worded], text[worded]
