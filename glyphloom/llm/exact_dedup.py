@@ -54,9 +54,10 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", normalise=lambda text:
     parts = slim.where("hot and nth = 1").select("h", "salt", "run", "keep_id", "group_size")  # under 2 * HOT * n rows
     if not parts.take(1):
         return cold
-    leader = docs.select(F.col("doc_id").cast("long").alias("keep_id"), text.alias("t")).withColumn("h", F.xxhash64("t")).join(F.broadcast(parts.select(F.col("h").alias("h2"), F.col("keep_id").alias("id2")).distinct()), (F.col("h") == F.col("h2")) & F.col("keep_id").eqNullSafe(F.col("id2"))).select("h", "keep_id", "t").distinct()
+    ids = F.broadcast(parts.select(F.col("h").alias("h1"), F.col("keep_id").alias("id1")).distinct())
+    leader = docs.select(F.col("doc_id").cast("long").alias("id2"), text.alias("t")).withColumn("h2", F.xxhash64("t")).join(ids, (F.col("h2") == F.col("h1")) & F.col("id2").eqNullSafe(F.col("id1"))).select("h2", "id2", "t").distinct()
     same = Window.partitionBy("h", "t")
-    groups = parts.join(leader, (parts.h == leader.h) & parts.keep_id.eqNullSafe(leader.keep_id)).select(parts.h, "salt", "run", best(parts.keep_id).over(same).alias("all_id"), F.sum("group_size").over(same).alias("all_size"))
+    groups = parts.join(leader, (F.col("h") == F.col("h2")) & F.col("keep_id").eqNullSafe(F.col("id2"))).select("h", "salt", "run", best("keep_id").over(same).alias("all_id"), F.sum("group_size").over(same).alias("all_size"))
     groups, _ = written(groups.select("h", "salt", "run", "all_id", "all_size"), "groups")
     joined = slim.where("hot").drop("keep_id", "group_size").join(F.broadcast(groups), ["h", "salt", "run"]).withColumnsRenamed({"all_id": "keep_id", "all_size": "group_size"})
     return cold.unionByName(joined.withColumn("kept", kept).select(out))
