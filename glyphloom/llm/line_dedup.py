@@ -112,13 +112,13 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
             yield pa.record_batch([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
     gone = aligned.mapInArrow(align, "key struct<doc_id: bigint, h: bigint>, gone array<int>").where("size(gone) > 0")
-    gone, _ = written(gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")).select(F.col("key.doc_id").alias("gone_id"), F.col("key.h").alias("gone_h"), "gone"), "gone")
+    gone, _ = written(gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone")).select(F.col("key.doc_id").alias("__gone_id"), F.col("key.h").alias("__gone_h"), "__gone"), "gone")
     release(docs.sparkSession)
-    joined = docs.select(*own).join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(text) == F.col("gone_h")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    joined = docs.select(*own).join(gone, (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_h")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
-    edited = F.when(F.col("gone").isNull(), text).otherwise(left)
-    return joined.select(*(edited.alias(c) if c == "text" else F.col(c) for c in own), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
+    edited = F.when(F.col("__gone").isNull(), text).otherwise(left)
+    return joined.select(*(edited.alias(c) if c == "text" else F.col(c) for c in own), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, documents, written
 
 SEED, MAX_EPOCHS, SHARE, BUCKETS = 17, 2, 1.0, 3  # BUCKETS: hex digits
-LEAF = ("domain", "leaf_lang", "leaf_source")
+LEAF = ("domain", "__lang", "__source")
 
 
 def domain_of(source: Column) -> Column:
@@ -55,7 +55,7 @@ def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, s
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*own, domain(F.col("source")).alias("domain"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), F.coalesce("lang", F.lit("-")).alias("leaf_lang"), F.coalesce("source", F.lit("-")).alias("leaf_source"))
+    rows = docs.select(*own, domain(F.col("source")).alias("domain"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"), F.coalesce("lang", F.lit("-")).alias("__lang"), F.coalesce("source", F.lit("-")).alias("__source"))
     slim, _ = written(rows.select(*LEAF, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "n_tokens"), "mix")
     leaves = slim.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     sums = {d: Window.partitionBy(*LEAF[: d + 1]) for d in range(3)}
@@ -81,11 +81,11 @@ def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, s
     edge = hashed.join(small_ends, list(LEAF)).where("bucket = last")
     edge = edge.withColumn("sum", F.col("before") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("hash"))).where("sum <= rest")
     cut = edge.groupBy(*LEAF).agg(F.max("hash").alias("top"))
-    plan = leaves.join(ends, list(LEAF), "left").join(cut, list(LEAF), "left").select(*LEAF, "epochs", F.coalesce("top", "last").alias("cutoff"))
+    plan = leaves.join(ends, list(LEAF), "left").join(cut, list(LEAF), "left").select(*LEAF, F.col("epochs").alias("__epochs"), F.coalesce("top", "last").alias("__cutoff"))
     plan, _ = written(plan, "plan")
     plan = F.broadcast(plan) if plan.count() * 200 <= BROADCAST_BYTES else plan
-    taken = F.md5(F.concat_ws(":", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) <= F.col("cutoff")
-    out = rows.join(plan, list(LEAF)).withColumn("copies", F.col("epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
+    taken = F.md5(F.concat_ws(":", F.lit(seed), "__epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) <= F.col("__cutoff")
+    out = rows.join(plan, list(LEAF)).withColumn("copies", F.col("__epochs") + F.coalesce(taken, F.lit(False)).cast("long"))
     return out.where("copies > 0").select(*own, "domain", "n_tokens", "copies")
 
 
@@ -97,8 +97,8 @@ def _oracle() -> str:
     sql = r"""
 WITH d AS (SELECT doc_id, lang, source, CASE WHEN substr(md5(coalesce(source, '-')), 1, 1) < '8' THEN 'a' ELSE 'b' END AS domain,
                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens,
-                  coalesce(lang, '-') AS leaf_lang, coalesce(source, '-') AS leaf_source FROM documents),
-l AS (SELECT domain, leaf_lang, leaf_source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL)"""
+                  coalesce(lang, '-') AS __lang, coalesce(source, '-') AS __source FROM documents),
+l AS (SELECT domain, __lang, __source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL)"""
     above = ""
     for k, name in enumerate(LEAF):
         parent = list(LEAF[:k])
