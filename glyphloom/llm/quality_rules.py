@@ -185,7 +185,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     y = np.array([int(v) for _, _, v in rows])
     if not len(y) or min(y.sum(), len(y) - y.sum()) < 8:
         return None
-    x = matrix(statistics(*text_bytes(pa.array([t for _, t, _ in rows], pa.string()))))
+    data, offsets = text_bytes(pa.array([t for _, t, _ in rows], pa.string()))
+    x = np.concatenate([matrix(statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])) for i, j in runs(offsets)])
     weight = np.where(y == 1, 1 / y.sum(), 1 / (len(y) - y.sum())) * len(y) / 2
     return grown(x, y, weight, np.array([MONOTONE.get(f, 0) for f in FEATURES]))
 
