@@ -12,7 +12,7 @@ H + 1 + k. Of two sets that link, k + 1 of the undivided segments agree at least
     1  Each task emits the signature of every segment (and of its one-deletion neighbourhood where allowed) of every set it
        hasn't seen, packed by target partition. Empty segments count against k and are left out unless a set has more of them.
     2  A target partition sorts its signatures. Buckets of up to CAP sets give pairs with the number of agreeing segments;
-       larger (hot) buckets give the list of their sets.
+       of larger (hot) ones it counts, for each set, in how many it is.
     3  A pair is a candidate if its agreeing segments number k + 1, less the empty and the hot ones that either set has. Hot
        buckets matter only for sets that have more hot segments than k spares; these sets, and no others, are also met by
        their rarest shingles, as many as the linked can't miss each other in. The holders of such a shingle are compared with
@@ -171,7 +171,7 @@ def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> It
         yield np.concatenate(sig), which[at], spare[at], band[at]
 
 
-LISTS = "kind string, a long, b long, spare_a int, spare_b int, band int, n long, members array<long>, spares array<int>"
+MET = "kind string, a long, b long, spare_a int, spare_b int, band int, n long"
 
 
 def _blob(sig: np.ndarray, head: np.ndarray, nodes: np.ndarray, spare: np.ndarray, band: np.ndarray) -> bytes:
@@ -190,8 +190,8 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 
 
 def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarray, cap: int = CAP) -> Iterator[pa.RecordBatch]:
-    """Pairs and lists of sets with equal signatures (LISTS); pairs and equal lists within these signatures are counted."""
-    schema = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("spare_a", pa.int32()), ("spare_b", pa.int32()), ("band", pa.int32()), ("n", pa.int64()), ("members", pa.list_(pa.int64())), ("spares", pa.list_(pa.int32()))])
+    """Pairs (a, b) of sets with n equal signatures, and sets (a) with n signatures in hot buckets, as rows of MET."""
+    schema = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("spare_a", pa.int32()), ("spare_b", pa.int32()), ("band", pa.int32()), ("n", pa.int64())])
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     same = np.flatnonzero(sig[1:] == sig[:-1])
@@ -229,11 +229,15 @@ def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarr
         total, i, j = np.add.reduceat(n, new), i[new], j[new]
         for at in range(0, len(i), 20_000):
             x, y = i[at : at + 20_000], j[at : at + 20_000]
-            none = pa.nulls(len(x), pa.list_(pa.int64())), pa.nulls(len(x), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array(["pair"] * len(x)), pa.array(signed[x]), pa.array(signed[y]), pa.array(spare[x]), pa.array(spare[y]), pa.array(band[x]), pa.array(total[at : at + 20_000]), *none], schema=schema)
-    for b in np.flatnonzero(size > cap).tolist():
-        s = slice(first[b], first[b] + size[b])
-        yield pa.record_batch([pa.array(["list"]), *(pa.nulls(1, pa.int64()),) * 2, *(pa.nulls(1, pa.int32()),) * 2, pa.array([int(band[first[b]])], pa.int32()), pa.array([int(times[b])]), pa.array([signed[s]], pa.list_(pa.int64())), pa.array([spare[s]], pa.list_(pa.int32()))], schema=schema)
+            yield pa.record_batch([pa.array(["pair"] * len(x)), pa.array(signed[x]), pa.array(signed[y]), pa.array(spare[x]), pa.array(spare[y]), pa.array(band[x]), pa.array(total[at : at + 20_000])], schema=schema)
+    if len(hot := np.flatnonzero(size > cap)):
+        row = np.repeat(first[hot] - np.cumsum(size[hot]) + size[hot], size[hot]) + np.arange(size[hot].sum())
+        n = np.repeat(times[hot], size[hot])
+        order = np.lexsort((band[row], node[row]))
+        row, n = row[order], n[order]
+        new = np.flatnonzero(np.append(True, (node[row][1:] != node[row][:-1]) | (band[row][1:] != band[row][:-1])))
+        total, row = np.add.reduceat(n, new), row[new]
+        yield pa.record_batch([pa.array(["hot"] * len(row)), pa.array(signed[row]), pa.nulls(len(row), pa.int64()), pa.array(spare[row]), pa.nulls(len(row), pa.int32()), pa.array(band[row]), pa.array(total)], schema=schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -364,22 +368,18 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     live_docs = plain.where("doc_id is not null and text is not null")
     dealt = live_docs.mapInArrow(signed, "part int, blob binary").repartitionById(n_parts, F.col("part"))
-    lists, at = written(dealt.mapInArrow(met, LISTS), "buckets")
+    lists, at = written(dealt.mapInArrow(met, MET), "buckets")
     release(spark)
     reps = live.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    hot = lists.where("kind = 'list'").groupBy(F.xxhash64("band", "members").alias("list")).agg(F.sum("n").alias("n"), F.first("band").alias("band"), F.first("members").alias("members"), F.first("spares").alias("spares"))
-    entries = hot.select("list", "band", "n", F.size("members").alias("size"), F.explode(F.arrays_zip("members", "spares")).alias("e")).select("list", "band", "n", "size", F.col("e.members").alias("node"), F.col("e.spares").alias("spare"))
-    entries, _ = written(entries, "entries")
-    heat, _ = written(entries.groupBy("node", "band").agg(F.sum("n").alias("hot"), F.min("spare").alias("spare")), "heat")
+    heat = lists.where("kind = 'hot'").groupBy(F.col("a").alias("node"), "band").agg(F.sum("n").alias("hot"), F.min("spare_a").alias("spare"))
+    heat, _ = written(heat, "heat")
     pairs = lists.where("kind = 'pair'").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.min("spare_a").alias("spare_a"), F.min("spare_b").alias("spare_b"))
     for end in ("a", "b"):
         own = heat.select(F.col("node").alias(end), "band", F.col("hot").alias(f"hot_{end}"))
         pairs = pairs.join(own, [end, "band"], "left")
     needed = F.greatest(*(F.col(f"spare_{e}") + 1 - F.coalesce(f"hot_{e}", F.lit(0)) for e in "ab"), F.lit(1))
     candidates = pairs.where(F.col("n") >= needed).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # in one order of all buckets, small ones first, a set's last `spare` segments are left out; the first that two linked sets share is not among them
-    order = Window.partitionBy("node", "band").orderBy(F.desc("size"), F.desc("list")).rowsBetween(Window.unboundedPreceding, 0)
-    over, _ = written(entries.withColumn("so_far", F.sum("n").over(order)).where("so_far > spare").select("node").distinct().join(reps, "node"), "over")
+    over, _ = written(heat.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
     found = verified(candidates, plain, reps, words, percent)
     if over.take(1):
         tokens, _ = written(shingle_rows(plain, over, words), "shingles")
