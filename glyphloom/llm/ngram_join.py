@@ -16,7 +16,7 @@ H + 1 + k. Of two sets that link, k + 1 of the undivided segments agree at least
     3  A pair is a candidate if its agreeing segments number k + 1, less the empty and the hot ones that either set has. Hot
        buckets matter only for sets that have more hot segments than k spares; these sets, and no others, are also met by
        their rarest shingles, as many as the linked can't miss each other in. The holders of such a shingle are compared with
-       the smallest of them, and then, across the components found so far, with each other.
+       the most central of them, and then, across the components found so far, with each other, block by block inside tasks.
     4  Candidates are verified on the shingle sets of their whole texts; components of verified links give the result.
 
 Nothing is dropped: a pair that no bucket shows is one that can't link. Equal sets share one node from the start, so
@@ -49,6 +49,10 @@ SPARE = 0.08
 HOT_COST = 40
 #: Links of one set that a group verifies at once.
 CHUNK_LINKS = 128
+#: Shingles of the sets of one block, and as how many a set counts at least: at most BLOCK / LEAST sets make a block on average.
+BLOCK, LEAST = 1 << 19, 512
+#: Shingles whose presence in the sets of two blocks is held as a matrix at once.
+COLUMNS = 2048
 HASH = SpanHash(fold_case=True, seed=4)
 
 
@@ -306,7 +310,90 @@ def rarest(tokens: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("node").orderBy("held", "list")
     whole = Window.partitionBy("node")
     place = F.row_number().over(order) + F.col("n") - F.count("*").over(whole)
-    return shared.withColumn("place", place).withColumn("middle", F.sum("held").over(whole) / F.col("n")).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n", "middle")
+    return shared.withColumn("place", place).withColumn("middle", F.sum("held").over(whole) / F.col("n")).withColumn("first", F.min(F.struct("held", "list")).over(whole)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n", "middle", "first")
+
+
+def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (of left, of right) that link sets of different components; as few as connect what all such pairs connect."""
+    _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, column = np.repeat(np.arange(len(size)), size)[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        has = np.zeros((len(size), COLUMNS), np.float32)
+        has[row[i:j], column[i:j] - at] = 1
+        both += has[left] @ has[right].T
+    link = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (component[left][:, None] != component[right])
+    a, b = np.nonzero(link)
+    _, known = np.unique(component, return_inverse=True)
+    ends = np.sort(np.stack([known[left[a]], known[right[b]]], 1), 1)
+    _, pick = np.unique(ends[:, 0] * len(size) + ends[:, 1], return_index=True)
+    parent = list(range(len(size)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for k in pick.tolist():
+        x, y = root(int(ends[k, 0])), root(int(ends[k, 1]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(left[a[k]]), int(right[b[k]])))
+    return out
+
+
+def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between sets of one list and different components. held: (list, node, n, component, first).
+
+    A list's sets are dealt into blocks by hash, and each pair of blocks is compared by one group; a set moves once for each
+    block of its list, not once for each set. Lists that hold the same sets as another count once, and so do those whose sets
+    all are on one other list.
+    """
+    spark = held.sparkSession
+    whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
+    whole = whole.where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
+    whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*")
+    dealt = held.join(whole, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    with_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = with_.select("node", "component", F.struct("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block").alias("task"))
+    roles, path = written(tasks.groupBy("node", "component").agg(F.collect_list("task").alias("tasks")).join(reps, "node"), "tasks")
+    rows = of_nodes(docs, roles).select("node", "component", "tasks", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "component", "set", "list", "x", "y", "block"]
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            for i, j in runs(offsets):
+                h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                own = node_of(h, cut).view(np.int64)
+                for at, node in enumerate(b.column("node").slice(i, j - i).to_pylist()):
+                    if own[at] != node:  # an id may have more than one text
+                        continue
+                    todo = b.column("tasks")[i + at].values
+                    n, blob, component = len(todo), h[cut[at] : cut[at + 1]].tobytes(), b.column("component")[i + at].as_py()
+                    for k in range(0, n, step := max(1, (8 << 20) // max(1, len(blob)))):
+                        some = todo.slice(k, step)
+                        m = len(some)
+                        yield pa.record_batch([pa.array([node] * m, pa.int64()), pa.array([component] * m, pa.int64()), pa.array([blob] * m, pa.binary()), *some.flatten()], names)
+
+    def linked(table: pa.Table) -> pa.Table:
+        node, component, block, x, y = (table.column(c).to_numpy() for c in ("node", "component", "block", "x", "y"))
+        held_ = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        every = np.arange(len(node))
+        left, right = (every, every) if x[0] == y[0] else (every[block == x[0]], every[block == y[0]])
+        pairs = block_links(np.array([len(s) for s in held_]), np.concatenate(held_), component, left, right, percent)
+        return pa.table({"u": pa.array([node[a] for a, _ in pairs], pa.int64()), "v": pa.array([node[b] for _, b in pairs], pa.int64())})
+
+    kind = "node long, component long, set binary, list long, x int, y int, block int"
+    out, _ = written(rows.mapInArrow(sets, kind).groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
+    release(spark)
+    removed(spark, path)
+    return out
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
@@ -389,15 +476,11 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         stars, _ = written(prefix.join(hubs, "list").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
         found, _ = written(found.union(verified(stars.join(candidates, ["u", "v"], "left_anti"), plain, reps, words, percent)), "found")
         labels = components(found)
-        of = prefix.join(labels, "node", "left").select("list", "node", "n", F.coalesce("component", "node").alias("component"))
+        of = prefix.join(labels, "node", "left").select("list", "node", "n", "first", F.coalesce("component", "node").alias("component"))
         mixed = of.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("list")
         mixed, _ = written(of.join(mixed, "list"), "mixed")
-        other = mixed.select("list", F.col("node").alias("v"), F.col("component").alias("c2"), F.col("n").alias("n2"))
-        near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-        rest = mixed.join(other, "list").where((F.col("node") < F.col("v")) & (F.col("component") != F.col("c2")) & near).select(F.col("node").alias("u"), "v").distinct()
-        rest, _ = written(rest.join(stars.union(candidates), ["u", "v"], "left_anti"), "rest")
-        if rest.take(1):
-            found, _ = written(found.union(verified(rest, plain, reps, words, percent)), "found")
+        if mixed.take(1):
+            found, _ = written(found.union(compared(mixed, plain, reps, words, percent)), "found")
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     labels = components(found)
     degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

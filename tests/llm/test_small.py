@@ -238,3 +238,22 @@ def test_ngram_join_equals_brute_force(spark, odd, empty, cap):
 def test_crc_of_ids(spark):
     ids = np.array([1, 2, 70000], "<u4").tobytes()
     assert spark.createDataFrame([(bytearray(ids),)], "b binary").select(F.crc32("b")).first()[0] == zlib.crc32(ids)
+
+
+def test_blocks_link_what_brute_force_links(spark, monkeypatch):
+    r = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)]
+    passage = r.choices(pool, k=60)
+    data = [(i, " ".join([*r.choices(pool, k=r.randint(4, 9)), *passage, *r.choices(pool, k=r.randint(0, 9))])) for i in range(120)]
+    data += [(200 + i, data[i * 7][1] + " more") for i in range(12)]
+    seen = []
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
+    monkeypatch.setattr(ngram_join, "LEAST", 1)
+    whole = ngram_join.compared
+    monkeypatch.setattr(ngram_join, "compared", lambda held, *more: seen.append((out := whole(held, *more)).count()) or out)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in collected(ngram_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string"), cap=3))}
+    assert got == brute_components(data) and seen
+    sets = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [2, 3, 4, 5], [9], [1, 2, 3, 4, 6])]
+    every = np.arange(5)
+    found = ngram_join.block_links(np.array([len(x) for x in sets]), np.concatenate(sets), np.array([0, 1, 2, 3, 1]), every, every, 75)
+    assert {frozenset(x) for x in found} <= {frozenset(x) for x in [(0, 1), (1, 2), (0, 4)]} and len(found) == 2
