@@ -247,11 +247,11 @@ def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarr
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (u, v) of nodes that link. reps: (node, doc_id) of one document of each set."""
     spark = pairs.sparkSession
-    pairs, _ = written(pairs.select("u", "v").distinct(), "pairs")
+    pairs, first = written(pairs.select("u", "v").distinct(), "pairs")
     degree = pairs.groupBy("u").agg(F.ceil(F.count("*") / CHUNK_LINKS).cast("long").alias("chunks"))
-    dealt, _ = written(pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), "chunks").alias("chunk")), "dealt")
+    dealt, second = written(pairs.join(degree, "u").select("u", "v", F.pmod(F.xxhash64("v"), "chunks").alias("chunk")), "dealt")
     roles = dealt.select(F.col("v").alias("node"), "u", "chunk").union(dealt.select(F.col("u").alias("node"), "u", "chunk").distinct())
-    roles, _ = written(roles.join(reps, "node"), "roles")
+    roles, third = written(roles.join(reps, "node"), "roles")
     rows = of_nodes(docs, roles).select("node", "u", "chunk", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +279,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     found = rows.mapInArrow(sets, "node long, u long, chunk long, set binary").groupBy("u", "chunk").applyInArrow(linked, "u long, v long")
     out, _ = written(found, "found")
     release(spark)
+    removed(spark, first, second, third)
     return out
 
 
@@ -465,12 +466,15 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         own = heat.select(F.col("node").alias(end), "band", F.col("hot").alias(f"hot_{end}"))
         pairs = pairs.join(own, [end, "band"], "left")
     needed = F.greatest(*(F.col(f"spare_{e}") + 1 - F.coalesce(f"hot_{e}", F.lit(0)) for e in "ab"), F.lit(1))
-    candidates = pairs.where(F.col("n") >= needed).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    candidates, _ = written(pairs.where(F.col("n") >= needed).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
+    removed(spark, at)
     over, _ = written(heat.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
     found = verified(candidates, plain, reps, words, percent)
     if over.take(1):
-        tokens, _ = written(shingle_rows(plain, over, words), "shingles")
+        tokens, at = written(shingle_rows(plain, over, words), "shingles")
         prefix, _ = written(rarest(tokens, percent), "prefix")
+        removed(spark, at)
+        release(spark)
         # the holder whose shingles are the most frequent on average is nearest to the middle of a group
         hubs = prefix.groupBy("list").agg(F.max_by("node", F.struct("middle", "node")).alias("u"))
         stars, _ = written(prefix.join(hubs, "list").where("node <> u").select("u", F.col("node").alias("v")).distinct(), "stars")
@@ -487,7 +491,6 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     named = slim.join(labels, "node", "left").join(degree, "node", "left")
     named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named, _ = written(named, "named")
-    removed(spark, at)
     least = named.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "n_links")
 
