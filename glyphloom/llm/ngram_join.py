@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, text_bytes, words_of, written
@@ -51,6 +51,8 @@ HOT_COST = 40
 CHUNK_LINKS = 128
 #: Shingles of the sets of one block, and as how many a set counts at least: at most BLOCK / LEAST sets make a block on average.
 BLOCK, LEAST = 1 << 19, 512
+#: Sets of a list that is compared by pairs of ids; those of longer lists are compared block by block.
+SHORT = 64
 #: Shingles whose presence in the sets of two blocks is held as a matrix at once.
 COLUMNS = 2048
 HASH = SpanHash(fold_case=True, seed=4)
@@ -348,18 +350,32 @@ def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left:
     return out
 
 
-def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame:
     """Links (u, v) between sets of one list and different components. held: (list, node, n, component, first).
 
-    A list's sets are dealt into blocks by hash, and each pair of blocks is compared by one group; a set moves once for each
-    block of its list, not once for each set. Lists that hold the same sets as another count once, and so do those whose sets
-    all are on one other list.
+    Lists that hold the same sets as another count once, and so do those whose sets all are on one other list. Of a list of up to
+    SHORT sets the pairs are verified that sizes allow and that weren't yet (known: u, v); the sets of a longer list are dealt into blocks by hash, and each pair of blocks is compared by one group; a set moves once for each
+    block of its list, not once for each set.
     """
     spark = held.sparkSession
     whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
     whole = whole.where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
-    whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*")
-    dealt = held.join(whole, "list").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*", "sets")
+    listed, first = written(held.join(whole, "list").select("list", "node", "n", "component", "blocks", "sets"), "listed")
+
+    def later(x: Column) -> Column:
+        fits = lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        return F.transform(F.filter("held", fits), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))
+
+    short = listed.where(F.col("sets") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "n", "component")).alias("held"))
+    pairs = short.select(F.explode(F.flatten(F.transform("held", later))).alias("pair")).select("pair.*").distinct()
+    known = known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    short, _ = written(verified(pairs.join(known, ["u", "v"], "left_anti"), docs, reps, words, percent), "short")
+    listed = listed.where(F.col("sets") > SHORT)
+    if not listed.take(1):
+        removed(spark, first)
+        return short
+    dealt = listed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     with_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = with_.select("node", "component", F.struct("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block").alias("task"))
     roles, path = written(tasks.groupBy("node", "component").agg(F.collect_list("task").alias("tasks")).join(reps, "node"), "tasks")
@@ -393,8 +409,8 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     kind = "node long, component long, set binary, list long, x int, y int, block int"
     out, _ = written(rows.mapInArrow(sets, kind).groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
     release(spark)
-    removed(spark, path)
-    return out
+    removed(spark, path, first)
+    return short.union(out)
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
@@ -484,7 +500,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         mixed = of.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("list")
         mixed, _ = written(of.join(mixed, "list"), "mixed")
         if mixed.take(1):
-            found, _ = written(found.union(compared(mixed, plain, reps, words, percent)), "found")
+            found, _ = written(found.union(compared(mixed, plain, reps, words, percent, stars.union(candidates))), "found")
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     labels = components(found)
     degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))

@@ -247,6 +247,7 @@ def test_blocks_link_what_brute_force_links(spark, monkeypatch):
     data = [(i, " ".join([*r.choices(pool, k=r.randint(4, 9)), *passage, *r.choices(pool, k=r.randint(0, 9))])) for i in range(120)]
     data += [(200 + i, data[i * 7][1] + " more") for i in range(12)]
     seen = []
+    monkeypatch.setattr(ngram_join, "SHORT", 8)
     monkeypatch.setattr(ngram_join, "BLOCK", 1500)
     monkeypatch.setattr(ngram_join, "LEAST", 1)
     whole = ngram_join.compared
