@@ -180,18 +180,19 @@ def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> It
 MET = "kind string, a long, b long, spare_a int, spare_b int, band int, n long"
 
 
-def _blob(sig: np.ndarray, head: np.ndarray, nodes: np.ndarray, spare: np.ndarray, band: np.ndarray) -> bytes:
-    return np.array([len(nodes), len(sig)], "<u4").tobytes() + nodes.astype("<u8").tobytes() + spare.astype("<u4").tobytes() + band.astype("<u1").tobytes() + (sig >> np.uint64(32)).astype("<u4").tobytes() + (sig >> np.uint64(16)).astype("<u2").tobytes() + head.astype("<u4").tobytes()
+def _blob(sig: np.ndarray, count: np.ndarray, nodes: np.ndarray, spare: np.ndarray, band: np.ndarray) -> bytes:
+    return np.array([len(nodes), len(sig)], "<u4").tobytes() + nodes.astype("<u8").tobytes() + count.astype("<u4").tobytes() + spare.astype("<u4").tobytes() + band.astype("<u1").tobytes() + (sig >> np.uint64(32)).astype("<u4").tobytes() + (sig >> np.uint64(16)).astype("<u2").tobytes()
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n, m = np.frombuffer(blob, "<u4", 2).tolist()
     at = 8
     out = []
-    for kind, count in (("<u8", n), ("<u4", n), ("<u1", n), ("<u4", m), ("<u2", m), ("<u4", m)):
+    for kind, count in (("<u8", n), ("<u4", n), ("<u4", n), ("<u1", n), ("<u4", m), ("<u2", m)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
-    nodes, spare, band, high, low, head = out
+    nodes, count, spare, band, high, low = out
+    head = np.repeat(np.arange(n), count)
     return high.astype(np.uint64) << np.uint64(16) | low, nodes[head], spare[head].astype(np.int32), band[head].astype(np.int32)
 
 
@@ -414,7 +415,11 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links (verified links of its set)."""
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links.
+
+    n_links is the number of links of its set that were verified. Where sets share frequent shingles, links within a component found
+    already are not looked for, so that it is a lower bound there; components are exact.
+    """
     spark = docs.sparkSession
     n_parts = partitions(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -458,7 +463,12 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
                     blobs, targets = [], []
                     for x, y in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist(), strict=True):
                         mine, head, back = np.unique(at[x:y], return_index=True, return_inverse=True)
-                        blobs.append(_blob(sig[x:y], back, node[mine], spare[x:y][head], of[x:y][head]))
+                        # in order of band and spare, so that these columns compress
+                        rank = np.lexsort((spare[x:y][head], of[x:y][head]))
+                        place = np.empty(len(rank), np.int64)
+                        place[rank] = np.arange(len(rank))
+                        head = head[rank]
+                        blobs.append(_blob(sig[x:y][np.argsort(place[back], kind="stable")], np.bincount(place[back]), node[mine[rank]], spare[x:y][head], of[x:y][head]))
                         targets.append(int(part[x]))
                     if blobs:
                         yield pa.record_batch([pa.array(targets, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
