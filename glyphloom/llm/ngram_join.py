@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, text_bytes, words_of, written
+from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, text_bytes, tidy, words_of, written
 from .components import components
 
 WORDS, PERCENT, CAP = 5, 75, 16
@@ -55,6 +55,8 @@ BLOCK, LEAST = 1 << 19, 512
 SHORT = 64
 #: Shingles whose presence in the sets of two blocks is held as a matrix at once.
 COLUMNS = 2048
+#: Shingles of the sets of one chunk, on average, that asks for counts together.
+CHUNK_SHINGLES = 1 << 17
 HASH = SpanHash(fold_case=True, seed=4)
 
 
@@ -279,7 +281,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
                 found.append(v)
         return pa.table({"u": pa.array([u] * len(found), pa.int64()), "v": pa.array(found, pa.int64())})
 
-    found = rows.mapInArrow(sets, "node long, u long, chunk long, set binary").groupBy("u", "chunk").applyInArrow(linked, "u long, v long")
+    found = rows.mapInArrow(tidy(sets), "node long, u long, chunk long, set binary").groupBy("u", "chunk").applyInArrow(linked, "u long, v long")
     out, _ = written(found, "found")
     release(spark)
     removed(spark, first, second, third)
@@ -292,8 +294,8 @@ def of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(nodes) if few else nodes, "doc_id")
 
 
-def shingle_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, list) for every shingle of the nodes' documents."""
+def shingle_lists(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, n, lists): the shingles of the nodes' documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -303,18 +305,45 @@ def shingle_rows(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 part = pa.record_batch([b.column("node").slice(i, j - i), pa.array(np.diff(cut)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))], ["node", "n", "lists"])
                 yield part.filter(pa.array(node_of(h, cut).view(np.int64) == part.column("node").to_numpy()))
 
-    rows = of_nodes(docs, nodes).select("node", "text").mapInArrow(sets, "node long, n long, lists array<long>")
-    return rows.dropDuplicates(["node"]).select("node", "n", F.explode("lists").alias("list"))
+    rows = of_nodes(docs, nodes).select("node", "text").mapInArrow(tidy(sets), "node long, n long, lists array<long>")
+    return rows.dropDuplicates(["node"])
 
 
-def rarest(tokens: DataFrame, percent: int) -> DataFrame:
-    """Of each set's shingles, rarest first, as many as two linked sets can't miss each other in; those of one set alone are left out."""
-    held = tokens.groupBy("list").agg(F.count("*").alias("held")).where("held > 1")
-    shared = tokens.join(held, "list")
-    order = Window.partitionBy("node").orderBy("held", "list")
-    whole = Window.partitionBy("node")
-    place = F.row_number().over(order) + F.col("n") - F.count("*").over(whole)
-    return shared.withColumn("place", place).withColumn("middle", F.sum("held").over(whole) / F.col("n")).withColumn("first", F.min(F.struct("held", "list")).over(whole)).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("list", "node", "n", "middle", "first")
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """Of each set's shingles, rarest first, as many as two linked sets can't miss each other in; those of one set alone are left out.
+
+    sets: (node, n, lists). They are dealt into chunks by hash; a chunk adds up what its sets hold and asks for the count of each of its
+    shingles once, so that a frequent shingle is shuffled once a chunk and not once a set.
+    """
+    chunks = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // CHUNK_SHINGLES))
+    dealt = sets.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)))
+    asked = dealt.select("chunk", F.explode("lists").alias("list")).groupBy("chunk", "list").agg(F.count("*").alias("own"))
+    held = asked.groupBy("list").agg(F.sum("own").alias("held")).where("held > 1")
+    told = asked.select(F.col("chunk").alias("to"), "list").join(held, "list")
+
+    def chosen(mine: pa.Table, counts: pa.Table) -> pa.Table:
+        names = ["list", "node", "n", "middle", "first_held", "first_list"]
+        if not counts.num_rows:
+            return pa.table([pa.array([], pa.float64() if c == "middle" else pa.int64()) for c in names], names=names)
+        order = np.argsort(counts.column("list").to_numpy())
+        known, much = counts.column("list").to_numpy()[order], counts.column("held").to_numpy()[order]
+        node, n, lists = mine.column("node").to_numpy(), mine.column("n").to_numpy(), mine.column("lists").combine_chunks()
+        flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+        at = np.searchsorted(known, flat)
+        shared = np.zeros(len(flat), bool)
+        shared[at < len(known)] = known[at[at < len(known)]] == flat[at < len(known)]
+        flat, row, much = flat[shared], row[shared], much[at[shared]]
+        order = np.lexsort((flat, much, row))
+        flat, row, much = flat[order], row[order], much[order]
+        size = np.bincount(row, minlength=len(n))
+        start = np.cumsum(size) - size
+        middle = np.bincount(row, much, len(n)) / n
+        place = np.arange(len(row)) - start[row] + 1 + (n - size)[row]
+        keep = place <= (n + n * -percent // 100 + 1)[row]
+        head, to = start[row[keep]], row[keep]
+        return pa.table([flat[keep], node[to], n[to], middle[to], much[head], flat[head]], names=names)
+
+    return dealt.groupBy("chunk").cogroup(told.groupBy("to")).applyInArrow(chosen, "list long, node long, n long, middle double, first_held long, first_list long").select("list", "node", "n", "middle", F.struct(F.col("first_held").alias("held"), F.col("first_list").alias("list")).alias("first"))
 
 
 def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -354,15 +383,19 @@ def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left:
 def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame:
     """Links (u, v) between sets of one list and different components. held: (list, node, n, component, first).
 
-    Lists that hold the same sets as another count once, and so do those whose sets all are on one other list. Of a list of up to
+    Lists of one component are left out. Lists that hold the same sets as another count once, and so do those whose sets all are on one other list. Of a list of up to
     SHORT sets the pairs are verified that sizes allow and that weren't yet (known: u, v); the sets of a longer list are dealt into blocks by hash, and each pair of blocks is compared by one group; a set moves once for each
     block of its list, not once for each set.
     """
     spark = held.sparkSession
-    whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
-    whole = whole.where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
+    whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
+    whole = whole.where("least < most").where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
     whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*", "sets")
     listed, first = written(held.join(whole, "list").select("list", "node", "n", "component", "blocks", "sets"), "listed")
+    known = known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    if not listed.take(1):
+        removed(spark, first)
+        return known.limit(0)
 
     def later(x: Column) -> Column:
         fits = lambda y: (y["node"] > x["node"]) & (y["component"] != x["component"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
@@ -370,7 +403,6 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
 
     short = listed.where(F.col("sets") <= SHORT).groupBy("list").agg(F.collect_list(F.struct("node", "n", "component")).alias("held"))
     pairs = short.select(F.explode(F.flatten(F.transform("held", later))).alias("pair")).select("pair.*").distinct()
-    known = known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     short, _ = written(verified(pairs.join(known, ["u", "v"], "left_anti"), docs, reps, words, percent), "short")
     listed = listed.where(F.col("sets") > SHORT)
     if not listed.take(1):
@@ -408,7 +440,7 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
         return pa.table({"u": pa.array([node[a] for a, _ in pairs], pa.int64()), "v": pa.array([node[b] for _, b in pairs], pa.int64())})
 
     kind = "node long, component long, set binary, list long, x int, y int, block int"
-    out, _ = written(rows.mapInArrow(sets, kind).groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
+    out, _ = written(rows.mapInArrow(tidy(sets), kind).groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
     release(spark)
     removed(spark, path, first)
     return short.union(out)
@@ -431,7 +463,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
                 h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(np.diff(cut)), pa.array(node_of(h, cut).view(np.int64))], ["doc_id", "n_shingles", "node"])
 
-    slim, _ = written(plain.mapInArrow(described, "doc_id long, n_shingles long, node long"), "sets")
+    slim, _ = written(plain.mapInArrow(tidy(described), "doc_id long, n_shingles long, node long"), "sets")
     live = slim.where("doc_id is not null and n_shingles > 0")
     largest = live.agg(F.max("n_shingles")).first()[0] or 0
     low = boundaries(largest, percent)
@@ -481,8 +513,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
             yield from buckets(sig, node, spare, of, cap)
 
     live_docs = plain.where("doc_id is not null and text is not null")
-    dealt = live_docs.mapInArrow(signed, "part int, blob binary").repartitionById(n_parts, F.col("part"))
-    lists, at = written(dealt.mapInArrow(met, MET), "buckets")
+    dealt = live_docs.mapInArrow(tidy(signed), "part int, blob binary").repartitionById(n_parts, F.col("part"))
+    lists, at = written(dealt.mapInArrow(tidy(met), MET), "buckets")
     release(spark)
     reps = live.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     heat = lists.where("kind = 'hot'").groupBy(F.col("a").alias("node"), "band").agg(F.sum("n").alias("hot"), F.min("spare_a").alias("spare"))
@@ -497,8 +529,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     over, _ = written(heat.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
     found = verified(candidates, plain, reps, words, percent)
     if over.take(1):
-        tokens, at = written(shingle_rows(plain, over, words), "shingles")
-        prefix, _ = written(rarest(tokens, percent), "prefix")
+        own, at = written(shingle_lists(plain, over, words), "shingles")
+        prefix, _ = written(rarest(own, percent), "prefix")
         removed(spark, at)
         release(spark)
         # the holder whose shingles are the most frequent on average is nearest to the middle of a group
@@ -507,10 +539,8 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         found, _ = written(found.union(verified(stars.join(candidates, ["u", "v"], "left_anti"), plain, reps, words, percent)), "found")
         labels = components(found)
         of = prefix.join(labels, "node", "left").select("list", "node", "n", "first", F.coalesce("component", "node").alias("component"))
-        mixed = of.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("list")
-        mixed, _ = written(of.join(mixed, "list"), "mixed")
-        if mixed.take(1):
-            found, _ = written(found.union(compared(mixed, plain, reps, words, percent, stars.union(candidates))), "found")
+        of, _ = written(of, "lists")
+        found, _ = written(found.union(compared(of, plain, reps, words, percent, stars.union(candidates))), "found")
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     labels = components(found)
     degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
