@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, runs, text_bytes
+from .common import bucket_of, documents, runs, text_bytes, tidy
 from .sampling import labelled_texts
 
 FOLDS, FOLD, PER_CLASS, MAX_CHARS, MAX_LANGS = 3, 1, 900, 50_000, 100
@@ -189,7 +189,7 @@ def languages(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.record_batch([*b.columns, pa.array(pred if model else ["und"] * n, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(n)), pa.array(np.concatenate(out) if out else np.ones(n, bool))], [*b.schema.names, "lang_pred", "score", "rejected"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema) + "lang_pred string, score double, rejected boolean"
-    return plain.mapInArrow(predict, schema)
+    return plain.mapInArrow(tidy(predict), schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

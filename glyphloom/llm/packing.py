@@ -21,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes
-from .tokens import encoder, vocabulary
+from .common import documents, runs, text_bytes, tidy
+from .tokens import PASS, encoder, vocabulary
 
 WINDOW, PIECE, GROUP, SLACK = 2048, 400, 64, 12
 
@@ -99,28 +99,29 @@ def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id:
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
-            ids, cut = e.encode(data, offsets)
-            raw = ids.astype("<u4").tobytes()
-            for doc, i, j in zip(b.column("doc_id").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                blob = raw[4 * i : 4 * j] + end
-                total = j - i + 1
-                full = total // window * window
-                for at in range(0, full, window):
-                    rows.append((doc, at, total, blob[4 * at : 4 * (at + window)], serial, 0))
-                    serial += 1
-                n = -(-(total - full) // piece)
-                for x in range(n):
-                    at, to = full + (total - full) * x // n, full + (total - full) * (x + 1) // n
-                    hold(doc, at, total, blob[4 * at : 4 * to])
-                if len(rows) >= 4096:
-                    yield batch()
+            for first, last in runs(offsets, PASS):
+                ids, cut = e.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+                raw = ids.astype("<u4").tobytes()
+                for doc, i, j in zip(b.column("doc_id")[first:last].to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    blob = raw[4 * i : 4 * j] + end
+                    total = j - i + 1
+                    full = total // window * window
+                    for at in range(0, full, window):
+                        rows.append((doc, at, total, blob[4 * at : 4 * (at + window)], serial, 0))
+                        serial += 1
+                    n = -(-(total - full) // piece)
+                    for x in range(n):
+                        at, to = full + (total - full) * x // n, full + (total - full) * (x + 1) // n
+                        hold(doc, at, total, blob[4 * at : 4 * to])
+                    if len(rows) >= 4096:
+                        yield batch()
         if held:
             emit(held)
         if rows:
             yield batch()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(pack, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return plain.mapInArrow(tidy(pack), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

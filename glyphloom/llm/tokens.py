@@ -17,11 +17,11 @@ import pandas as pd
 from .common import CHUNK, SpanHash, runs
 
 #: Bytes of text in one pass: repeated words are looked up once in it.
-PASS = 2 * CHUNK
+PASS = CHUNK
 
 SPACE, LETTER, DIGIT, OTHER, ALIEN = range(5)
 #: Distinct pre-tokens that a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 
 
 def vocabulary(name: str) -> str:
