@@ -22,6 +22,14 @@ CHUNK = 1 << 20
 #: Largest table, in bytes, that an operator broadcasts after having measured it.
 BROADCAST_BYTES = 64 << 20
 
+#: Bytes of one Arrow batch between Spark and a Python worker: either side holds some of them, outside the JVM's heap.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES at most (or one row)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, documents, runs, text_bytes, tidy
+from .common import bucket_of, documents, runs, small_batches, text_bytes, tidy
 from .sampling import labelled_texts
 
 FOLDS, FOLD, PER_CLASS, MAX_CHARS, MAX_LANGS = 3, 1, 900, 50_000, 100
@@ -171,6 +171,7 @@ def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def languages(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with the columns lang_pred, score and rejected; those three replace columns of these names."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     plain = docs.select(*names)
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, text_bytes, tidy, words_of, written
+from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, small_batches, text_bytes, tidy, words_of, written
 from .components import components
 
 WORDS, PERCENT, CAP = 5, 75, 16
@@ -453,6 +453,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     already are not looked for, so that it is a lower bound there; components are exact.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n_parts = partitions(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

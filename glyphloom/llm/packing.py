@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, runs, text_bytes, tidy
+from .common import documents, runs, small_batches, text_bytes, tidy
 from .tokens import PASS, encoder, vocabulary
 
 WINDOW, PIECE, GROUP, SLACK = 2048, 400, 64, 12
@@ -63,6 +63,7 @@ def packed(sizes: list[int], window: int = WINDOW) -> list[tuple[int, list[int]]
 
 def pack_documents(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, window: int = WINDOW, piece: int = PIECE, group: int = GROUP, slack: int = SLACK) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     budget = group * (window - slack)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
