@@ -1,10 +1,13 @@
 """Operator 5, line dedup by pairwise alignment.
 
-Lines are hashed; of the documents that share a line the first one, in order of doc_id, stands for all of them, so that a line
-of any frequency makes no more pairs than it has documents. Each later document is aligned with the first documents of its
-lines by patience diff: lines that either holds once anchor the alignment, their longest increasing run is kept, and the gaps
-between anchors are aligned in the same way. Maximal runs of aligned lines with at least min_words words are
-deleted from the later document.
+Lines are hashed. A later document is aligned with earlier ones, in order of doc_id, by patience diff: lines that either holds
+once anchor the alignment, their longest increasing run is kept, and the gaps between anchors are aligned in the same way.
+Maximal runs of aligned lines with at least min_words words are deleted from the later document, whichever earlier document
+they are aligned with: the result is that of the alignments with all earlier documents.
+
+Documents meet by the shortest runs of adjacent lines around a line that have min_words words, since no block that is deleted
+does without one of them. The first holder of a run stands for all; only documents with lines that are left, though an earlier
+document has such a run around them, are aligned with GROWTH times as many further holders in each round, until none is left.
 
 Nulls and ties: a null text stays null; an empty one stays empty. Rows with a null doc_id are left as they are. Documents of one
 doc_id with different texts are ordered by a hash of the text; equal rows are one document and lose the same lines. Lines
@@ -17,14 +20,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, written
+from .common import documents, mix64, release, removed, written
 
 #: Words that an aligned block needs to be deleted.
 MIN_WORDS = 5
+#: How many times the holders of the round before each round takes.
+GROWTH = 4
+#: An odd factor of the hashes of runs, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -92,6 +101,102 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+def shortest_runs(hashes: np.ndarray, words: np.ndarray, of: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
+    """Distinct hashes of the runs of adjacent lines with min_words words around one of the lines `of`, than which no shorter one is around it."""
+    n = len(hashes)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes.view(np.uint64)) * _powers(BASE, n), dtype=np.uint64)])
+    back = _powers(INVERSE, n)
+    written_, rank = np.flatnonzero(words > 0), np.searchsorted(np.flatnonzero(words > 0), of)
+    out = []
+    for t in range(min_words + 1):  # runs that start t lines with words before the line
+        ok = rank >= t
+        x = of[ok]
+        start = x if t == 0 else written_[rank[ok] - t]
+        end = np.maximum(np.searchsorted(total, total[start] + min_words), x + 1)
+        ok = end <= n
+        start, end = start[ok], end[ok]
+        if t:
+            ok = total[end] - total[start + 1] < min_words
+            start, end = start[ok], end[ok]
+        out.append(mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """(key, run) of rows (key, hashes, words, gone): the runs around lines that aren't gone."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for h, w, g in zip(b.column("hashes"), b.column("words"), b.column("gone"), strict=True):
+                h, w = h.values.to_numpy(), w.values.to_numpy()
+                left = np.ones(len(h), bool)
+                left[g.values.to_numpy()] = False
+                sets.append(shortest_runs(h, w, np.flatnonzero(left), min_words))
+            size = np.array([len(x) for x in sets], np.int64)
+            if size.sum():
+                yield pa.record_batch([b.column("key").take(pa.array(np.repeat(np.arange(len(sets)), size))), pa.array(np.concatenate(sets))], ["key", "run"])
+
+    return rows.select("key", "hashes", "words", "gone").mapInArrow(found, f"{KEY}, run long")
+
+
+KEY = "key struct<doc_id: bigint, h: bigint>"
+
+
+def doomed_lines(table: DataFrame, min_words: int) -> DataFrame:
+    """(key, gone) of rows (key, hashes, words): the lines that an alignment with any document of a smaller key deletes."""
+    spark = table.sparkSession
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gone = [doomed(a, h, w, min_words) for a, h, w in zip(*(b.column(c).to_pylist() for c in ("first_hashes", "hashes", "words")), strict=True)]
+            yield pa.record_batch([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+
+    first = table.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes"))
+    nothing = F.array().cast("array<int>")
+    held, held_at = written(_runs(table.withColumn("gone", nothing), min_words), "runs")
+    firsts, firsts_at = written(held.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("run", "first"), "firsts")
+    pairs, pairs_at = written(held.join(firsts, "run").where("key <> first").select("key", "first").distinct(), "pairs")
+    done, paths, gone, gone_at, holders, holders_at, open_, open_at, takes = pairs, [held_at, firsts_at, pairs_at], None, None, None, None, None, None, 1
+    while True:
+        new = pairs.join(first, "first").join(table, "key").select("key", "first_hashes", "hashes", "words").mapInArrow(align, f"{KEY}, gone array<int>")
+        new = new if gone is None else new.union(gone)
+        old_at, (gone, gone_at) = gone_at, written(new.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+        if holders is None:
+            holders, holders_at = held.join(firsts, "run").where("key > first").select("run", "key"), None
+            left = _runs(table.join(gone, "key"), min_words)
+            known = holders
+        else:
+            removed(spark, old_at)
+            left = _runs(table.join(gone, "key").join(open_.select("key").distinct(), "key", "left_semi"), min_words)
+            known = open_
+        after = holders.groupBy("run").agg(F.min("key").alias("next"))
+        stale = open_at
+        # of the runs that are still around a line which is left, those that a holder not yet met has
+        open_, open_at = written(left.join(known.select("run").distinct(), "run", "left_semi").join(after, "run").where("next < key").select("key", "run"), "open")
+        if stale:
+            removed(spark, stale)
+        if not open_.take(1):
+            removed(spark, *paths, open_at, *([holders_at] if holders_at else []))
+            return gone.where("size(gone) > 0")
+        takes *= GROWTH
+        used = holders.join(open_.select("run").distinct(), "run", "left_semi")
+        chosen, chosen_at = written(used.groupBy("run", F.pmod(F.xxhash64("key"), F.lit(takes)).alias("salt")).agg(F.min("key").alias("first")).select("run", "first"), "chosen")
+        stale = holders_at
+        holders, holders_at = written(used.join(chosen.withColumnRenamed("first", "key"), ["run", "key"], "left_anti"), "holders")
+        fresh = open_.join(chosen, "run").where("first < key").select("key", "first").distinct().join(done, ["key", "first"], "left_anti")
+        pairs, pairs_at = written(fresh, "pairs")
+        removed(spark, chosen_at, *([stale] if stale else []))
+        done, paths = done.union(pairs), [*paths, pairs_at]
+
+
 def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with aligned common blocks deleted from later documents' text, and the columns n_lines and n_removed."""
     text, own = F.col("text").cast("string"), [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -99,20 +204,8 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     lines = _lines(text)
     count = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
     table, _ = written(docs.where("doc_id is not null and text is not null").select(key.alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), count.alias("words")).dropDuplicates(["key"]), "lines")
-    held = table.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where("line.words > 0").select("key", F.col("line.hashes").alias("line"))
-    firsts = held.groupBy("line").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("line", "first")
-    pairs = held.join(firsts, "line").where("key <> first").select("key", "first").distinct()
-    pairs, _ = written(pairs, "pairs")
-    first = table.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes"))
-    aligned = pairs.join(first, "first").join(table, "key").select("key", "first_hashes", "hashes", "words")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gone = [doomed(a, h, w, min_words) for a, h, w in zip(*(b.column(c).to_pylist() for c in ("first_hashes", "hashes", "words")), strict=True)]
-            yield pa.record_batch([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
-
-    gone = aligned.mapInArrow(align, "key struct<doc_id: bigint, h: bigint>, gone array<int>").where("size(gone) > 0")
-    gone, _ = written(gone.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("__gone")).select(F.col("key.doc_id").alias("__gone_id"), F.col("key.h").alias("__gone_h"), "__gone"), "gone")
+    gone = doomed_lines(table, min_words)
+    gone, _ = written(gone.select(F.col("key.doc_id").alias("__gone_id"), F.col("key.h").alias("__gone_h"), F.col("gone").alias("__gone")), "gone")
     release(docs.sparkSession)
     joined = docs.select(*own).join(gone, (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_h")), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
