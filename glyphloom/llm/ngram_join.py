@@ -17,6 +17,7 @@ H + 1 + k. Of two sets that link, k + 1 of the undivided segments agree at least
        buckets matter only for sets that have more hot segments than k spares; these sets, and no others, are also met by
        their rarest shingles, as many as the linked can't miss each other in. The holders of such a shingle are compared with
        the most central of them, and then, across the components found so far, with each other, block by block inside tasks.
+       The links of such sets with each other are counted once more, all of them, each at one list.
     4  Candidates are verified on the shingle sets of their whole texts; components of verified links give the result.
 
 Nothing is dropped: a pair that no bucket shows is one that can't link. Equal sets share one node from the start, so
@@ -346,8 +347,8 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(told.groupBy("to")).applyInArrow(chosen, "list long, node long, n long, middle double, first_held long, first_list long").select("list", "node", "n", "middle", F.struct(F.col("first_held").alias("held"), F.col("first_list").alias("list")).alias("first"))
 
 
-def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs (of left, of right) that link sets of different components; as few as connect what all such pairs connect."""
+def overlaps(size: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members each two sets (of left, of right) share; flat holds the members of all sets, one set after another."""
     _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
     shared = held[column] > 1
     row, column = np.repeat(np.arange(len(size)), size)[shared], (np.cumsum(held > 1) - 1)[column[shared]]
@@ -359,7 +360,17 @@ def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left:
         has = np.zeros((len(size), COLUMNS), np.float32)
         has[row[i:j], column[i:j] - at] = 1
         both += has[left] @ has[right].T
-    link = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (component[left][:, None] != component[right])
+    return both
+
+
+def linked_matrix(size: np.ndarray, flat: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    both = overlaps(size, flat, left, right)
+    return 100 * both >= percent * (size[left][:, None] + size[right] - both)
+
+
+def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (of left, of right) that link sets of different components; as few as connect what all such pairs connect."""
+    link = linked_matrix(size, flat, left, right, percent) & (component[left][:, None] != component[right])
     a, b = np.nonzero(link)
     _, known = np.unique(component, return_inverse=True)
     ends = np.sort(np.stack([known[left[a]], known[right[b]]], 1), 1)
@@ -446,11 +457,77 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     return short.union(out)
 
 
+def link_counts(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n): with how many others a set of held links. held: (list, node, n, first), all lists that linked sets can't miss each other in.
+
+    Pairs of lists of up to SHORT sets are verified by ids. Longer ones are compared block by block, and a pair counts at the least of
+    the long lists that both are on, if no short one has both: tasks return counts of sets, not pairs.
+    """
+    spark = held.sparkSession
+    whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
+    whole = whole.where("sets > 1").where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
+    whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*", "sets")
+    listed, listed_at = written(held.join(whole, "list").select("list", "node", "n", "blocks", "sets"), "listed")
+
+    def later(x: Column) -> Column:
+        fits = lambda y: (y["node"] > x["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+        return F.transform(F.filter("held", fits), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))
+
+    is_short = F.col("sets") <= SHORT
+    short = listed.where(is_short).groupBy("list").agg(F.collect_list(F.struct("node", "n")).alias("held"))
+    pairs = short.select(F.explode(F.flatten(F.transform("held", later))).alias("pair")).select("pair.*").distinct()
+    counts = verified(pairs, docs, reps, words, percent).select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    if not listed.where(~is_short).take(1):
+        return counts
+    dealt = listed.where(~is_short).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    with_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = with_.groupBy("node").agg(F.collect_list(F.struct("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")).alias("tasks"))
+    on = listed.groupBy("node").agg(F.collect_list(F.when(is_short, F.col("list"))).alias("brief"), F.collect_list(F.when(~is_short, F.col("list"))).alias("wide"))
+    roles, roles_at = written(tasks.join(on, "node").join(reps, "node"), "tasks")
+    rows = of_nodes(docs, roles).select("node", "tasks", "brief", "wide", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_bytes(b.column("text"))
+            for i, j in runs(offsets):
+                h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                own = node_of(h, cut).view(np.int64)
+                for at, node in enumerate(b.column("node").slice(i, j - i).to_pylist()):
+                    if own[at] != node:  # an id may have more than one text
+                        continue
+                    todo, blob = b.column("tasks")[i + at].values, h[cut[at] : cut[at + 1]].tobytes()
+                    brief, wide = (b.column(c)[i + at].values.to_numpy() for c in ("brief", "wide"))
+                    of = todo.field("list").to_numpy()
+                    for k in range(0, len(todo), step := max(1, (4 << 20) // max(1, len(blob)))):
+                        some = todo.slice(k, step)
+                        before = [np.concatenate([brief, wide[wide < x]]).tobytes() for x in of[k : k + step].tolist()]
+                        yield pa.record_batch([pa.array([node] * len(some), pa.int64()), pa.array([blob] * len(some), pa.binary()), pa.array(before, pa.binary()), *some.flatten()], ["node", "set", "before", "list", "x", "y", "block"])
+
+    def linked(table: pa.Table) -> pa.Table:
+        node, block, x, y = (table.column(c).to_numpy() for c in ("node", "block", "x", "y"))
+        held_, before = ([np.frombuffer(s, kind) for s in table.column(c).to_pylist()] for c, kind in (("set", np.uint64), ("before", np.int64)))
+        every = np.arange(len(node))
+        left, right = (every, every) if x[0] == y[0] else (every[block == x[0]], every[block == y[0]])
+        link = linked_matrix(np.array([len(s) for s in held_]), np.concatenate(held_), left, right, percent)
+        link &= overlaps(np.array([len(s) for s in before]), np.concatenate(before), left, right) == 0
+        if x[0] == y[0]:
+            link = np.triu(link, 1)
+        n = np.zeros(len(node), np.int64)
+        n[left] += link.sum(1)
+        n[right] += link.sum(0)
+        return pa.table({"node": node[n > 0], "n": n[n > 0]})
+
+    kind = "node long, set binary, before binary, list long, x int, y int, block int"
+    found, _ = written(rows.mapInArrow(tidy(sets), kind).groupBy("list", "x", "y").applyInArrow(linked, "node long, n long"), "counts")
+    release(spark)
+    removed(spark, roles_at, listed_at)
+    return counts.union(found)
+
+
 def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links.
 
-    n_links is the number of links of its set that were verified. Where sets share frequent shingles, links within a component found
-    already are not looked for, so that it is a lower bound there; components are exact.
+    n_links is the number of sets that its set links with.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -529,6 +606,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     removed(spark, at)
     over, _ = written(heat.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
     found = verified(candidates, plain, reps, words, percent)
+    counts = None
     if over.take(1):
         own, at = written(shingle_lists(plain, over, words), "shingles")
         prefix, _ = written(rarest(own, percent), "prefix")
@@ -542,9 +620,16 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         of = prefix.join(labels, "node", "left").select("list", "node", "n", "first", F.coalesce("component", "node").alias("component"))
         of, _ = written(of, "lists")
         found, _ = written(found.union(compared(of, plain, reps, words, percent, stars.union(candidates))), "found")
+        counts = link_counts(prefix, plain, reps, words, percent)
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     labels = components(found)
-    degree = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = found
+    if counts is not None:  # links of two sets that both have too many hot segments are counted there, all of them
+        for end in ("u", "v"):
+            degree = degree.join(over.select(F.col("node").alias(end), F.lit(1).alias(f"over_{end}")), end, "left")
+        degree = degree.where("over_u is null or over_v is null")
+    degree = degree.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    degree = (degree if counts is None else degree.union(counts)).groupBy("node").agg(F.sum("n").alias("n_links"))
     named = slim.join(labels, "node", "left").join(degree, "node", "left")
     named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named, _ = written(named, "named")

@@ -281,3 +281,26 @@ def test_blocks_link_what_brute_force_links(spark, monkeypatch):
     every = np.arange(5)
     found = ngram_join.block_links(np.array([len(x) for x in sets]), np.concatenate(sets), np.array([0, 1, 2, 3, 1]), every, every, 75)
     assert {frozenset(x) for x in found} <= {frozenset(x) for x in [(0, 1), (1, 2), (0, 4)]} and len(found) == 2
+
+
+@pytest.mark.parametrize("short", [64, 8])
+def test_ngram_join_counts_all_links(spark, monkeypatch, short):
+    r = random.Random(21)
+    pool = [f"w{i}" for i in range(3000)]
+    passage, base = r.choices(pool, k=60), r.choices(pool, k=70)
+    data = [(i, " ".join([*r.choices(pool, k=r.randint(2, 9)), *passage, *r.choices(pool, k=r.randint(0, 9))])) for i in range(90)]
+    for i in range(40):
+        w = list(base)
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = r.choice(pool)
+        data.append((200 + i, " ".join(w)))
+    data += [(300 + i, " ".join(r.choices(pool, k=30))) for i in range(10)] + [(400, data[0][1] + " more"), (401, data[0][1])]
+    sets = {i: frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for i, t in data}
+    distinct = set(sets.values())
+    want = {i: sum(1 for y in distinct if y != x and 100 * len(x & y) >= 75 * len(x | y)) for i, x in sets.items()}
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
+    monkeypatch.setattr(ngram_join, "LEAST", 1)
+    rows = collected(ngram_join.similar_documents(spark.createDataFrame(data, "doc_id long, text string"), cap=3))
+    assert {x["doc_id"]: x["n_links"] for x in rows} == want
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows} == brute_components(data)
