@@ -1,39 +1,62 @@
 """Operator 5, line dedup by pairwise alignment.
 
-Lines are hashed. A later document is aligned with earlier ones, in order of doc_id, by patience diff: lines that either holds
-once anchor the alignment, their longest increasing run is kept, and the gaps between anchors are aligned in the same way.
-Maximal runs of aligned lines with at least min_words words are deleted from the later document, whichever earlier document
-they are aligned with: the result is that of the alignments with all earlier documents.
-
-Documents meet by the shortest runs of adjacent lines around a line that have min_words words, since no block that is deleted
-does without one of them. The first holder of a run stands for all; only documents with lines that are left, though an earlier
-document has such a run around them, are aligned with GROWTH times as many further holders in each round, until none is left.
+Lines are hashed. The passages around a line are the shortest runs of adjacent lines with at least min_words words that hold it: a
+line with as many is one of its own, shorter lines make one with their neighbours. Of each passage the first holder, that with the smallest key, stands for
+all: a later document meets one earlier document for each of its passages, so frequent passages make no more pairs than rare ones,
+and none is left out.
+
+A later document is aligned with each earlier document that it meets by patience diff over the passages they share: passages
+that either holds once (the rare ones) anchor the alignment, their longest increasing run is kept, and gaps between anchors are
+aligned in the same way. Aligned passages that follow each other in both documents, but for as many lines without a word, make a
+block. Passages that the alignment crosses are aligned in further passes, each a chain that ascends in both documents, until
+none is left; further copies of an aligned passage go with it. Blocks are deleted from the later document, so of every passage
+that an earlier document holds no line stays.
 
 Nulls and ties: a null text stays null; an empty one stays empty. Rows with a null doc_id are left as they are. Documents of one
 doc_id with different texts are ordered by a hash of the text; equal rows are one document and lose the same lines. Lines
-without a word are never shared. An empty table gives no rows. All other columns pass through unchanged.
+without a word are in no passage of their own. A very long text is one row like any other; its lines are hashed in numpy. An empty
+table gives no rows. All other columns pass through unchanged.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, release, removed, written
+from .common import SpanHash, documents, mix64, release, removed, runs, small_batches, text_bytes, tidy, words_of, written
 
-#: Words that an aligned block needs to be deleted.
+#: Words that a passage needs.
 MIN_WORDS = 5
-#: How many times the holders of the round before each round takes.
-GROWTH = 4
-#: An odd factor of the hashes of runs, and its inverse modulo 2**64.
+#: An odd factor of the hashes of passages, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+HASH = SpanHash(seed=5)
+
+
+def increasing(values: list[int]) -> list[int]:
+    """Places of a longest increasing run of values (patience sorting)."""
+    tails: list[int] = []
+    last: list[int] = []
+    back = [-1] * len(values)
+    for n, v in enumerate(values):
+        at = bisect_left(tails, v)
+        back[n] = last[at - 1] if at else -1
+        if at == len(tails):
+            tails.append(v)
+            last.append(n)
+        else:
+            tails[at], last[at] = v, n
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(n)
+        n = back[n]
+    return chain[::-1]
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -52,29 +75,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         once_a, once_b = Counter(a[i0:i1]), Counter(b[j0:j1])
         place = {x: i for i, x in enumerate(a[i0:i1], i0) if once_a[x] == 1 and once_b.get(x) == 1}
         anchors = [(place[x], j) for j, x in enumerate(b[j0:j1], j0) if x in place]
-        if not anchors:
-            common = [x for x in once_a if x in once_b]
-            if not common:
+        if not anchors:  # none is single on either side: the first places of all that are in both
+            first_a, first_b = ({x: i for i, x in reversed(list(enumerate(s[s0:s1], s0)))} for s, s0, s1 in ((a, i0, i1), (b, j0, j1)))
+            anchors = sorted(((first_a[x], j) for x, j in first_b.items() if x in first_a), key=lambda p: p[1])
+            if not anchors:
                 continue
-            # no line is single on either side: the rarest common one is matched at its first places
-            x = min(common, key=lambda x: (once_a[x] + once_b[x], x))
-            anchors = [(a.index(x, i0, i1), b.index(x, j0, j1))]
-        tails: list[int] = []
-        last: list[int] = []
-        back = [-1] * len(anchors)
-        for n, (i, _) in enumerate(anchors):
-            at = bisect_left(tails, i)
-            back[n] = last[at - 1] if at else -1
-            if at == len(tails):
-                tails.append(i)
-                last.append(n)
-            else:
-                tails[at], last[at] = i, n
-        chain, n = [], last[-1]
-        while n >= 0:
-            chain.append(anchors[n])
-            n = back[n]
-        chain.reverse()
+        chain = [anchors[n] for n in increasing([i for i, _ in anchors])]
         out += chain
         for (i, j), (p, q) in zip([(i0 - 1, j0 - 1), *chain], [*chain, (i1, j1)], strict=True):
             if i + 1 < p and j + 1 < q:
@@ -82,23 +88,52 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def doomed(first: list[int], later: list[int], words: list[int], min_words: int = MIN_WORDS) -> list[int]:
-    """Lines of the later document in aligned blocks of at least min_words words."""
-    out: list[int] = []
-    block: list[int] = []
-    was = (-2, -2)
-    for i, j in [*patience(first, later), (-2, -2)]:
-        if block and (i, j) != (was[0] + 1, was[1] + 1):
-            if sum(words[x] for x in block) >= min_words:
-                out += block
-            block = []
-        block.append(j)
-        was = (i, j)
-    return out
-
-
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def passes(a: list[int], b: list[int]) -> list[list[tuple[int, int]]]:
+    """Alignments of b with a: that by patience, then chains of those members of b that it left, until each distinct one has been aligned."""
+    first = patience(a, b)
+    out, met = [first], {b[j] for _, j in first}
+    where = {x: i for i, x in reversed(list(enumerate(a)))}
+    tails: list[int] = []  # negative ends of the chains, ascending
+    chains: list[list[tuple[int, int]]] = []
+    for j, x in enumerate(b):
+        if x in met or x not in where:
+            continue
+        met.add(x)
+        i = where[x]
+        at = bisect_right(tails, -i)  # the chain with the largest end below i
+        if at == len(tails):
+            tails.append(-i)
+            chains.append([(i, j)])
+        else:
+            tails[at] = -i
+            chains[at].append((i, j))
+    return out + chains
+
+
+#: An occurrence: position of the first line, number of lines, lines without a word that follow.
+Place = tuple[int, int, int]
+
+
+def block_lines(a: list[tuple[Place, int]], b: list[tuple[Place, int]]) -> set[int]:
+    """Lines of b in blocks that are aligned with a. a, b: ((position, lines, blank), passage), ascending."""
+    names_a, names_b = [x for _, x in a], [x for _, x in b]
+    gone: set[int] = set()
+    aligned: set[int] = set()
+    for chain in passes(names_a, names_b):
+        was = None
+        for i, j in chain:
+            (p, n, _), (q, m, _) = a[i][0], b[j][0]
+            gone.update(range(q, q + m))
+            aligned.add(names_b[j])
+            if was:
+                (p0, n0, e0), (q0, m0, e1) = was
+                if e0 == e1 and p0 + n0 + e0 == p and q0 + m0 + e1 == q:
+                    gone.update(range(q0 + m0, q))
+            was = a[i][0], b[j][0]
+    for (q, m, _), x in b:  # further copies
+        if x in aligned:
+            gone.update(range(q, q + m))
+    return gone
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -107,111 +142,103 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def shortest_runs(hashes: np.ndarray, words: np.ndarray, of: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
-    """Distinct hashes of the runs of adjacent lines with min_words words around one of the lines `of`, than which no shorter one is around it."""
-    n = len(hashes)
+def passages(hashes: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line and end of the passages of texts that have the lines row[i]:row[i+1]: around each line with a word the runs of
+    min_words words, than which no shorter one is around it."""
+    full = np.flatnonzero(words > 0)
+    text = np.searchsorted(row, full, "right") - 1
+    low, high = row[text], row[text + 1]
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes.view(np.uint64)) * _powers(BASE, n), dtype=np.uint64)])
-    back = _powers(INVERSE, n)
-    written_, rank = np.flatnonzero(words > 0), np.searchsorted(np.flatnonzero(words > 0), of)
-    out = []
+    starts, ends = [], []
     for t in range(min_words + 1):  # runs that start t lines with words before the line
-        ok = rank >= t
-        x = of[ok]
-        start = x if t == 0 else written_[rank[ok] - t]
+        x, start = full[t:], full[: max(0, len(full) - t)]
         end = np.maximum(np.searchsorted(total, total[start] + min_words), x + 1)
-        ok = end <= n
-        start, end = start[ok], end[ok]
+        ok = (start >= low[t:]) & (end <= high[t:])
         if t:
-            ok = total[end] - total[start + 1] < min_words
-            start, end = start[ok], end[ok]
-        out.append(mix64((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
-    return np.unique(np.concatenate(out)).view(np.int64)
-
+            ok[ok] = total[end[ok]] - total[start[ok] + 1] < min_words
+        starts.append(start[ok])
+        ends.append(end[ok])
+    start, end = np.divmod(np.unique(np.concatenate(starts) * (len(hashes) + 1) + np.concatenate(ends)), len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(hashes) * _powers(BASE, len(hashes)), dtype=np.uint64)])
+    return mix64((sums[end] - sums[start]) * _powers(INVERSE, len(hashes) + 1)[start] + (end - start).astype(np.uint64)), start, end
 
-def _runs(rows: DataFrame, min_words: int) -> DataFrame:
-    """(key, run) of rows (key, hashes, words, gone): the runs around lines that aren't gone."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = []
-            for h, w, g in zip(b.column("hashes"), b.column("words"), b.column("gone"), strict=True):
-                h, w = h.values.to_numpy(), w.values.to_numpy()
-                left = np.ones(len(h), bool)
-                left[g.values.to_numpy()] = False
-                sets.append(shortest_runs(h, w, np.flatnonzero(left), min_words))
-            size = np.array([len(x) for x in sets], np.int64)
-            if size.sum():
-                yield pa.record_batch([b.column("key").take(pa.array(np.repeat(np.arange(len(sets)), size))), pa.array(np.concatenate(sets))], ["key", "run"])
-
-    return rows.select("key", "hashes", "words", "gone").mapInArrow(found, f"{KEY}, run long")
 
+HELD = "doc_id long, h long, passage long, at array<int>, n int, blank array<int>"
 
-KEY = "key struct<doc_id: bigint, h: bigint>"
 
+def _held(table: DataFrame, min_words: int) -> DataFrame:
+    """A row of HELD for each distinct passage of rows (doc_id, h, text): where it begins, its lines, and the lines without a word after each."""
 
-def doomed_lines(table: DataFrame, min_words: int) -> DataFrame:
-    """(key, gone) of rows (key, hashes, words): the lines that an alignment with any document of a smaller key deletes."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole, cuts = text_bytes(b.column("text"))
+            for x, y in runs(cuts):
+                data, offsets = whole[cuts[x] : cuts[y]], cuts[x : y + 1] - cuts[x]
+                breaks = np.flatnonzero(data == 10)
+                row = np.searchsorted(breaks, offsets) + np.arange(len(offsets))  # the first line of each text
+                first = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+                ends = np.sort(np.concatenate([breaks, offsets[1:]]))
+                begins, _, _ = words_of(data, offsets)
+                count = np.searchsorted(begins, ends) - np.searchsorted(begins, first)
+                hashes, start, end = passages(HASH(data, first, ends), count, row, min_words)
+                if not len(hashes):
+                    continue
+                of = np.searchsorted(row, start, "right") - 1
+                full = np.append(np.flatnonzero(count > 0), len(count))
+                blank = np.minimum(full[np.searchsorted(full, end)], row[of + 1]) - end
+                order = np.lexsort((start, hashes, of))
+                of, hashes, start, size, blank = of[order], hashes[order], start[order], (end - start)[order], blank[order]
+                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])))
+                lists = pa.array(np.append(new, len(of)), pa.int32())
+                at, blank = (pa.ListArray.from_arrays(lists, pa.array(c, pa.int32())) for c in (start - row[of], blank))
+                doc = pa.array(of[new] + x)
+                yield pa.record_batch([b.column("doc_id").take(doc), b.column("h").take(doc), pa.array(hashes[new].view(np.int64)), at, pa.array(size[new], pa.int32()), blank], ["doc_id", "h", "passage", "at", "n", "blank"])
+
+    return table.mapInArrow(tidy(found), HELD)
+
+
+def doomed_lines(table: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, h, gone) of rows (doc_id, h, text): the lines that alignments with documents of smaller (doc_id, h) delete."""
     spark = table.sparkSession
+    held, held_at = written(_held(table, min_words), "held")
+    key = F.struct("doc_id", "h")
+    firsts = held.groupBy("passage").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.min_by(F.struct("at", "blank"), key).alias("there")).where("first <> last")
+    firsts, firsts_at = written(firsts.select("passage", "first", F.col("there.at").alias("first_at"), F.col("there.blank").alias("first_blank")), "firsts")
+    met = held.join(firsts.hint("merge"), "passage").where(key != F.col("first")).select("doc_id", "h", F.struct("first", "passage", "n", "at", "blank", "first_at", "first_blank").alias("m"))
+    met = met.groupBy("doc_id", "h").agg(F.collect_set("m").alias("met"))  # at most the passages of one document; equal rows come once
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            gone = [doomed(a, h, w, min_words) for a, h, w in zip(*(b.column(c).to_pylist() for c in ("first_hashes", "hashes", "words")), strict=True)]
-            yield pa.record_batch([b.column("key"), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
-
-    first = table.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes"))
-    nothing = F.array().cast("array<int>")
-    held, held_at = written(_runs(table.withColumn("gone", nothing), min_words), "runs")
-    firsts, firsts_at = written(held.groupBy("run").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last").select("run", "first"), "firsts")
-    pairs, pairs_at = written(held.join(firsts, "run").where("key <> first").select("key", "first").distinct(), "pairs")
-    done, paths, gone, gone_at, holders, holders_at, open_, open_at, takes = pairs, [held_at, firsts_at, pairs_at], None, None, None, None, None, None, 1
-    while True:
-        new = pairs.join(first, "first").join(table, "key").select("key", "first_hashes", "hashes", "words").mapInArrow(align, f"{KEY}, gone array<int>")
-        new = new if gone is None else new.union(gone)
-        old_at, (gone, gone_at) = gone_at, written(new.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
-        if holders is None:
-            holders, holders_at = held.join(firsts, "run").where("key > first").select("run", "key"), None
-            left = _runs(table.join(gone, "key"), min_words)
-            known = holders
-        else:
-            removed(spark, old_at)
-            left = _runs(table.join(gone, "key").join(open_.select("key").distinct(), "key", "left_semi"), min_words)
-            known = open_
-        after = holders.groupBy("run").agg(F.min("key").alias("next"))
-        stale = open_at
-        # of the runs that are still around a line which is left, those that a holder not yet met has
-        open_, open_at = written(left.join(known.select("run").distinct(), "run", "left_semi").join(after, "run").where("next < key").select("key", "run"), "open")
-        if stale:
-            removed(spark, stale)
-        if not open_.take(1):
-            removed(spark, *paths, open_at, *([holders_at] if holders_at else []))
-            return gone.where("size(gone) > 0")
-        takes *= GROWTH
-        used = holders.join(open_.select("run").distinct(), "run", "left_semi")
-        chosen, chosen_at = written(used.groupBy("run", F.pmod(F.xxhash64("key"), F.lit(takes)).alias("salt")).agg(F.min("key").alias("first")).select("run", "first"), "chosen")
-        stale = holders_at
-        holders, holders_at = written(used.join(chosen.withColumnRenamed("first", "key"), ["run", "key"], "left_anti"), "holders")
-        fresh = open_.join(chosen, "run").where("first < key").select("key", "first").distinct().join(done, ["key", "first"], "left_anti")
-        pairs, pairs_at = written(fresh, "pairs")
-        removed(spark, chosen_at, *([stale] if stale else []))
-        done, paths = done.union(pairs), [*paths, pairs_at]
+            gone = []
+            for rows in b.column("met").to_pylist():
+                pairs: dict[tuple[int, int], tuple[list, list]] = {}
+                for r in rows:
+                    a, d = pairs.setdefault((r["first"]["doc_id"], r["first"]["h"]), ([], []))
+                    a += [((p, r["n"], e), r["passage"]) for p, e in zip(r["first_at"], r["first_blank"], strict=True)]
+                    d += [((p, r["n"], e), r["passage"]) for p, e in zip(r["at"], r["blank"], strict=True)]
+                gone.append(sorted(set().union(*(block_lines(sorted(a), sorted(d)) for a, d in pairs.values()))))
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "h", "gone"])
+
+    gone, _ = written(met.mapInArrow(tidy(align), "doc_id long, h long, gone array<int>"), "gone")
+    removed(spark, held_at, firsts_at)
+    release(spark)
+    return gone
 
 
 def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with aligned common blocks deleted from later documents' text, and the columns n_lines and n_removed."""
+    """docs with aligned common blocks deleted from later documents' text, and the columns n_lines and n_removed (in place of such columns of docs)."""
+    small_batches(docs.sparkSession)
     text, own = F.col("text").cast("string"), [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"))
-    lines = _lines(text)
-    count = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")))
-    table, _ = written(docs.where("doc_id is not null and text is not null").select(key.alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hashes"), count.alias("words")).dropDuplicates(["key"]), "lines")
-    gone = doomed_lines(table, min_words)
-    gone, _ = written(gone.select(F.col("key.doc_id").alias("__gone_id"), F.col("key.h").alias("__gone_h"), F.col("gone").alias("__gone")), "gone")
-    release(docs.sparkSession)
-    joined = docs.select(*own).join(gone, (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_h")), "left")
+    table = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    gone = doomed_lines(table, min_words).select(F.col("doc_id").alias("__gone_id"), F.col("h").alias("__gone_h"), F.col("gone").alias("__gone"))
+    # texts move once, at every size alike; the lists of lines are small and make the hashed side
+    joined = docs.select(*own).join(gone.hint("shuffle_hash"), (F.col("doc_id").cast("long") == F.col("__gone_id")) & (F.xxhash64(text) == F.col("__gone_h")), "left")
+    lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n")
     edited = F.when(F.col("__gone").isNull(), text).otherwise(left)
-    return joined.select(*(edited.alias(c) if c == "text" else F.col(c) for c in own), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"))
+    count = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
+    return joined.select(*(edited.alias(c) if c == "text" else F.col(c) for c in own), count.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

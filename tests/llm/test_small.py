@@ -177,29 +177,6 @@ def test_line_dedup(spark, odd, empty):
     assert by[None][0]["text"] == words(60, 5) and not collected(line_dedup.deduplicated_lines(empty))
 
 
-def test_line_dedup_equals_alignment_with_all_earlier_documents(spark):
-    r = random.Random(12)
-    pool = [words(r.choice([1, 2, 3, 6, 9]), 1000 + k) for k in range(25)] + ["", " "]
-    texts = ["\n".join(r.choices(pool, k=r.randrange(1, 14))) for _ in range(90)]
-    a, b, c = (words(8, 2000 + k) for k in range(3))
-    texts += [f"{a}\n{b}\n{c}", f"{c}\nx", f"{b}\nz\n{a}\ny", f"{b}\n{a}\n{c}\n{a}"]
-    split = [t.split("\n") for t in texts]
-    count = [[len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in t] for t in split]
-    lines = spark.createDataFrame([(x,) for x in sorted({x for t in split for x in t})], "x string")
-    code = {r.x: r.h for r in lines.select("x", F.xxhash64("x").alias("h")).collect()}  # ties are in order of hashes
-    coded = [[code[x] for x in t] for t in split]
-    want, of_firsts = [], []
-    for j, t in enumerate(split):
-        gone = set().union(*(line_dedup.doomed(coded[i], coded[j], count[j]) for i in range(j)))
-        want.append(("\n".join(x for k, x in enumerate(t) if k not in gone), len(gone)))
-        firsts = {next(i for i in range(j + 1) if x in split[i]) for x in t} - {j}
-        of_firsts.append(len(set().union(*(line_dedup.doomed(coded[i], coded[j], count[j]) for i in firsts))))
-    assert sum(of_firsts) < sum(n for _, n in want)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in collected(line_dedup.deduplicated_lines(docs))}
-    assert [got[j] for j in range(len(texts))] == want
-
-
 def test_mixing(spark, odd, empty):
     got = collected(mixing.mixed(odd, max_epochs=3))
     assert all(1 <= r["copies"] <= 4 for r in got) and set(CLASH) <= set(got[0]) and not collected(mixing.mixed(empty))
