@@ -1,15 +1,15 @@
 """Token ids of whole texts with the public tokenizers, many times faster than text by text.
 
 Both vocabularies cut a text into pre-tokens and merge within each of them only. So a worker cuts texts with numpy
-on their UTF-8 bytes, asks the tokenizers library once for each distinct pre-token, and keeps those answers in a bounded
-cache under a 64-bit hash and length. Texts with characters outside printable ASCII, tab, newline, return and the Latin
+on their UTF-8 bytes, asks the merging model of the tokenizers library once for each distinct pre-token, and keeps those answers in a
+bounded cache under a 64-bit hash and length. Texts with characters outside printable ASCII, tab, newline, return and the Latin
 letters U+00C0-U+024F, with an apostrophe (contractions) or with '<|' (special tokens) go whole to the library.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 def _classes() -> np.ndarray:
     c = np.full(256, ALIEN, np.uint8)
     c[[32, 9, 10, 13]] = SPACE
@@ -54,12 +64,6 @@ class Encoder:
 
         self.tokenizer, self.kind, self.limit = Tokenizer.from_file(path), kind, cache
         self.hash = SpanHash(fold_case=kind == "word")
-        if kind == "byte":
-            (self.mark,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        else:
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -68,13 +72,15 @@ class Encoder:
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words, all in one call as one text, and how many each has."""
-        if self.kind == "byte":  # a newline between words is a pre-token of its own
-            ids = np.array(self.tokenizer.encode(b"\n".join(words).decode(), add_special_tokens=False).ids, np.uint32)
-            cut = np.append(np.flatnonzero(ids == self.mark), len(ids))
-            return ids[ids != self.mark], np.diff(cut, prepend=-1) - 1
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
-        return ids, np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        """Ids of the words, one after another, and how many each has. The words are pre-tokens already: only the model is asked."""
+        text = b" ".join(words) if self.kind == "word" else b"\n".join(words)
+        if self.kind == "word":
+            text = self.tokenizer.normalizer.normalize_str(text.decode()).encode()
+        letters = text.decode("latin-1").translate(BYTE_LETTERS)
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(w)] for w in letters.split(BYTE_LETTERS[32 if self.kind == "word" else 10])]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
     def _learn(self, keys: list[int], words: list[bytes]) -> None:
         blank = [i for i, w in enumerate(words) if not w.strip()]
