@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
+#: Numbers of one dense block of cells and genes that a task holds at once.
+BLOCK = 1 << 20
+
 
 def rebinned(bins: DataFrame, size: int) -> DataFrame:
     """(bx, by, gene, value): sums over square bins. bins: (x, y, gene, value)."""
@@ -50,7 +59,49 @@ def normalised(counts: DataFrame, total: float = 1e4) -> DataFrame:
 
 
 def nonzero_median(counts: DataFrame) -> DataFrame:
-    return counts.where("value <> 0").agg(F.percentile("value", 0.5).alias("median"))
+    (median,) = quantiles(counts.where("value <> 0"), "value", [0.5])
+    return counts.sparkSession.createDataFrame([(median,)], "median double")
+
+
+def min_variance(counts: DataFrame, mode: float | str = "umi_median") -> float:
+    """A number as it is; 'umi_median' is (median of the non-zero counts / 5) squared."""
+    if not isinstance(mode, str):
+        return float(mode)
+    if mode != "umi_median":
+        raise ValueError(f"unknown variance floor {mode}")
+    (median,) = quantiles(counts.where("value <> 0"), "value", [0.5])
+    return ((median or 0.0) / 5) ** 2
+
+
+def dense_rows(counts: DataFrame, cells: DataFrame, genes: Sequence[str], f: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], name: str = "value") -> DataFrame:
+    """(cell, gene, name): f(cells' rows, their values of the genes) for every cell and gene, absent entries as zeros.
+
+    A cell's stored entries move once, as one row; the dense block is made inside a task, BLOCK numbers at a time. genes: one row for
+    each, so they are held on the driver and sent with the task.
+    """
+    spark, names = counts.sparkSession, list(genes)
+    index = spark.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, gi int")
+    packed = counts.join(F.broadcast(index), "gene").groupBy("cell").agg(F.collect_list(F.struct("gi", F.col("value").cast("double").alias("v"))).alias("stored"))
+    kind = cells.schema["cell"].dataType.simpleString()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, column = max(1, BLOCK // max(1, len(names))), pa.array(names, pa.string())
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                b = whole.slice(at, step)
+                y = np.zeros((len(b), len(names)))
+                stored = b.column("stored")
+                flat = stored.flatten()
+                if len(flat):
+                    of = np.repeat(np.arange(len(b)), np.nan_to_num(stored.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                    y[of, flat.field("gi").to_numpy()] = flat.field("v").to_numpy()
+                out = f(b, y)
+                row = pa.array(np.repeat(np.arange(len(b)), len(names)))
+                yield pa.record_batch([b.column("cell").take(row), column.take(pa.array(np.tile(np.arange(len(names)), len(b)))), pa.array(out.ravel())], ["cell", "gene", name])
+
+    if not names:
+        return spark.createDataFrame([], f"cell {kind}, gene string, {name} double")
+    return cells.join(packed, "cell", "left").mapInArrow(rows, f"cell {kind}, gene string, {name} double")
 
 
 def pearson_residual(y: Column, mu: Column, theta: Column, min_var: float | Column = float("-inf")) -> Column:
@@ -61,17 +112,43 @@ def pearson_residual(y: Column, mu: Column, theta: Column, min_var: float | Colu
 
 def deviance_residual(y: Column, mu: Column, theta: Column) -> Column:
     first = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0)
-    return F.signum(y - mu) * F.sqrt(F.greatest(2 * (first - (y + theta) * F.log((y + theta) / (mu + theta))), F.lit(0.0)))
+    second = F.when(theta == F.lit(float("inf")), y - mu).otherwise((y + theta) * F.log((y + theta) / (mu + theta)))
+    return F.signum(y - mu) * F.sqrt(F.greatest(2 * (first - second), F.lit(0.0)))
+
+
+def residuals(counts: DataFrame, model: DataFrame, cells: DataFrame, clip: float | None = None, min_var: float = float("-inf")) -> DataFrame:
+    """(cell, gene, r) for every gene of the model and every cell. model: (gene, theta, intercept, slope), a row for each gene; cells: (cell, log_umi)."""
+    m = model.select("gene", "theta", "intercept", "slope").toPandas().sort_values("gene")
+    theta, intercept, slope = (m[c].to_numpy(float) for c in ("theta", "intercept", "slope"))
 
+    def block(b: pa.RecordBatch, y: np.ndarray) -> np.ndarray:
+        mu = np.exp(intercept + slope * b.column("log_umi").to_numpy()[:, None])
+        r = (y - mu) / np.sqrt(np.maximum(np.where(np.isinf(theta), mu, mu + mu * mu / theta), min_var))
+        return np.clip(r, -clip, clip) if clip else r
 
-def residuals(counts: DataFrame, model: DataFrame, cells: DataFrame, clip: float | None = None) -> DataFrame:
-    """(cell, gene, r) for every gene of the model and every cell. model: (gene, theta, intercept, slope); cells: (cell, log_umi).
+    return dense_rows(counts, cells.select("cell", "log_umi"), m["gene"].tolist(), block, "r")
 
-    The grid of genes and cells is the result itself; the model, a row for each gene, is broadcast.
+
+def residual_moments(counts: DataFrame, model: DataFrame, cells: DataFrame, clip: float | None = None, min_var: float = float("-inf")) -> DataFrame:
+    """(gene, residual_mean, residual_variance) over all cells without the grid of genes and cells.
+
+    The residual of an absent entry depends on the gene and the cell's log_umi alone: its sums run over distinct log_umi, and
+    stored entries add what they differ by.
     """
-    grid = cells.crossJoin(F.broadcast(model)).join(counts.select("cell", "gene", "value"), ["cell", "gene"], "left")
-    r = pearson_residual(F.coalesce("value", F.lit(0.0)), F.exp(F.col("intercept") + F.col("slope") * F.col("log_umi")), F.col("theta"))
-    return grid.select("cell", "gene", (F.least(F.greatest(r, F.lit(-clip)), F.lit(clip)) if clip else r).alias("r"))
+    cells = cells.select("cell", "log_umi")
+    model = F.broadcast(model.select("gene", "theta", "intercept", "slope"))  # a row for each gene
+
+    def r(y: Column) -> Column:
+        v = pearson_residual(y, F.exp(F.col("intercept") + F.col("slope") * F.col("log_umi")), F.col("theta"), min_var)
+        return F.least(F.greatest(v, F.lit(-clip)), F.lit(clip)) if clip else v
+
+    alike = cells.groupBy("log_umi").agg(F.count("*").alias("cells"))
+    zero = r(F.lit(0.0))
+    base = alike.crossJoin(model).groupBy("gene").agg(F.sum("cells").alias("n"), F.sum(F.col("cells") * zero).alias("s"), F.sum(F.col("cells") * zero * zero).alias("ss"))
+    stored = r(F.col("value").cast("double"))
+    own = counts.join(cells, "cell").join(model, "gene").groupBy("gene").agg(F.sum(stored - zero).alias("ds"), F.sum(stored * stored - zero * zero).alias("dss"))
+    s, ss = F.col("s") + F.coalesce("ds", F.lit(0.0)), F.col("ss") + F.coalesce("dss", F.lit(0.0))
+    return base.join(own, "gene", "left").select("gene", (s / F.col("n")).alias("residual_mean"), F.when(F.col("n") > 1, F.greatest((ss - s * s / F.col("n")) / (F.col("n") - 1), F.lit(0.0))).alias("residual_variance"))
 
 
 def residual_variance(rows: DataFrame) -> DataFrame:
@@ -89,15 +166,51 @@ def integration_features(lists: DataFrame, n: int) -> DataFrame:
     return lists.groupBy("gene").agg(F.countDistinct("list").alias("lists"), F.percentile("rank", 0.5).alias("median_rank")).orderBy(F.desc("lists"), "median_rank", "gene").limit(n)
 
 
-def scaled(values: DataFrame, limit: float = 10.0) -> DataFrame:
-    """Centred and scaled per gene (ddof 1, no spread counts as 1), at most the limit."""
-    own = Window.partitionBy("gene")
-    sd = F.stddev_samp("value").over(own)
-    return values.withColumn("value", F.least((F.col("value") - F.avg("value").over(own)) / F.when(sd > 0, sd).otherwise(1.0), F.lit(limit)))
+def gene_moments(counts: DataFrame, n_cells: int) -> DataFrame:
+    """(gene, mean, sd) over all cells, absent entries as zeros; sd with ddof 1, and 1 without spread."""
+    rows = counts.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    n = F.lit(float(n_cells))
+    var = (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)
+    return rows.select("gene", (F.col("s") / n).alias("mean"), F.when(var > 0, F.sqrt(var)).otherwise(1.0).alias("sd"))
+
+
+def scaled(counts: DataFrame, n_cells: int, limit: float = 10.0) -> DataFrame:
+    """Stored entries over their gene's sd among all cells, at most the limit: the sparse form, which doesn't centre."""
+    return counts.join(F.broadcast(gene_moments(counts, n_cells)), "gene").select("cell", "gene", F.least(F.col("value") / F.col("sd"), F.lit(limit)).alias("value"))
+
+
+def scaled_dense(counts: DataFrame, cells: DataFrame, limit: float = 10.0) -> DataFrame:
+    """(cell, gene, value) for every cell and gene: centred, over the gene's sd, within the limit on both sides."""
+    m = gene_moments(counts, cells.count()).toPandas().sort_values("gene")  # a row for each gene
+    mean, sd = m["mean"].to_numpy(float), m["sd"].to_numpy(float)
+    return dense_rows(counts, cells.select("cell"), m["gene"].tolist(), lambda b, y: np.clip((y - mean) / sd, -limit, limit))
+
+
+def percentile_scaled(counts: DataFrame, n_cells: int, low: float, high: float) -> DataFrame:
+    """Stored entries clipped to two percentiles of the gene over all cells, absent ones as zeros, and scaled to 0 to 1; 0 where the two are equal.
+
+    An absent entry has (0 clipped - low) / (high - low): the column `zero` of each row tells it.
+    """
+    zeros = counts.groupBy("gene").agg((F.lit(n_cells) - F.count("*")).alias("times"), F.lit(0.0).alias("value"))
+    all_ = counts.select("gene", F.lit(1).cast("long").alias("times"), F.col("value").cast("double").alias("value")).unionByName(zeros.where("times > 0").select("gene", F.col("times").cast("long").alias("times"), "value"))
+    cut = all_.groupBy("gene").agg(F.percentile("value", low, F.col("times")).alias("lo"), F.percentile("value", high, F.col("times")).alias("hi"))
+
+    def share(v: Column) -> Column:
+        return F.when(F.col("hi") > F.col("lo"), (F.least(F.greatest(v, F.col("lo")), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+
+    return counts.join(F.broadcast(cut), "gene").select("cell", "gene", share(F.col("value")).alias("value"), share(F.lit(0.0)).alias("zero"))
+
+
+def quality_metrics(counts: DataFrame, top: tuple[int, ...] = (50, 100, 200, 500)) -> DataFrame:
+    """Per cell: total_counts, n_genes_by_counts, their log1p, and the percentage of the total in its `top` largest genes."""
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("value"), "gene"))
+    shares = [F.sum(F.when(F.col("place") <= n, F.col("value"))).alias(f"top{n}") for n in top]
+    rows = counts.where("value <> 0").withColumn("place", place).groupBy("cell").agg(F.sum("value").alias("total_counts"), F.count("*").alias("n_genes_by_counts"), *shares)
+    return rows.select("cell", "total_counts", "n_genes_by_counts", F.log1p("total_counts").alias("log1p_total_counts"), F.log1p("n_genes_by_counts").alias("log1p_n_genes_by_counts"), *((F.col(f"top{n}") * 100 / F.col("total_counts")).alias(f"pct_counts_in_top_{n}_genes") for n in top))
 
 
-def percentile_scaled(values: DataFrame, low: float, high: float) -> DataFrame:
-    """Clipped to two percentiles of the gene and scaled to 0 to 1; 0 where these are equal. values: (cell, gene, value), zeros included."""
-    cut = values.groupBy("gene").agg(F.percentile("value", low).alias("lo"), F.percentile("value", high).alias("hi"))
-    v = (F.least(F.greatest("value", "lo"), F.col("hi")) - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return values.join(F.broadcast(cut), "gene").select("cell", "gene", F.when(F.col("hi") > F.col("lo"), v).otherwise(0.0).alias("value"))
+def gene_quality(counts: DataFrame, n_cells: int) -> DataFrame:
+    """Per gene: n_cells_by_counts, total_counts, mean_counts, pct_dropout_by_counts and log1p of total and mean."""
+    rows = counts.where("value <> 0").groupBy("gene").agg(F.count("*").alias("n_cells_by_counts"), F.sum("value").alias("total_counts"))
+    mean = F.col("total_counts") / n_cells
+    return rows.select("gene", "n_cells_by_counts", "total_counts", mean.alias("mean_counts"), F.log1p("total_counts").alias("log1p_total_counts"), F.log1p(mean).alias("log1p_mean_counts"), (100 * (1 - F.col("n_cells_by_counts") / n_cells)).alias("pct_dropout_by_counts"))

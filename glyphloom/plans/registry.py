@@ -92,19 +92,48 @@ def neighbourhood_gradient(spark, d):
 
 @query(f"WITH {CELLS}, m AS (SELECT label AS grp, avg(x) AS mx, avg(y) AS my FROM cells GROUP BY 1) SELECT grp, arg_min(id, (sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), id)) AS id, round(min(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))), 6) AS d FROM cells JOIN m ON label = grp GROUP BY grp")
 def central_members(spark, d):
-    return sp.central_members(cells(spark, d).withColumnRenamed("label", "grp")).withColumn("d", F.round("d", 6))
+    return sp.central_members(cells(spark, d).withColumnRenamed("label", "grp")).select("grp", "id", F.round("d", 6).alias("d"))
 
 
-@query()
+EPS_PAIRS = "e AS (SELECT a.id AS u, b.id AS v FROM cells a JOIN cells b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 250.0 * 250.0), core AS (SELECT u FROM e GROUP BY u HAVING count(*) >= 4), inn AS (SELECT e.u, e.v FROM e JOIN core a ON a.u = e.u JOIN core b ON b.u = e.v), reach AS (SELECT u, u AS root FROM core UNION SELECT inn.v, reach.root FROM reach JOIN inn ON inn.u = reach.u WHERE reach.root < inn.v), own AS (SELECT u, min(root) AS cluster FROM reach GROUP BY u), border AS (SELECT e.u, min(own.cluster) AS cluster FROM e JOIN own ON own.u = e.v GROUP BY e.u), found AS (SELECT id, x, y, coalesce(own.cluster, border.cluster) AS cluster FROM cells LEFT JOIN own ON own.u = id LEFT JOIN border ON border.u = id), num AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS number FROM (SELECT DISTINCT cluster FROM found WHERE cluster IS NOT NULL)), named AS (SELECT cluster, 'S' || lpad((row_number() OVER (ORDER BY avg(y), avg(x), cluster))::VARCHAR, 3, '0') AS slice_id FROM found WHERE cluster IS NOT NULL GROUP BY cluster HAVING count(*) >= 10), sliced AS (SELECT id, x, y, coalesce(number, -1)::INT AS slice_cluster, coalesce(slice_id, 'debris') AS slice_id FROM found LEFT JOIN num USING (cluster) LEFT JOIN named USING (cluster))"
+
+
+@query(f"WITH RECURSIVE {CELLS}, {EPS_PAIRS} SELECT * FROM sliced")
 def slice_clusters(spark, d):
     return sp.slices(cells(spark, d), eps=250.0, min_samples=4, min_cells=10)
 
 
-@query()
+@query(f"WITH RECURSIVE {CELLS}, {EPS_PAIRS} SELECT slice_id, count(*) AS n, round_even(min(x), 1) AS x_min, round_even(max(x), 1) AS x_max, round_even(avg(x), 1) AS x_mean, round_even(min(y), 1) AS y_min, round_even(max(y), 1) AS y_max, round_even(avg(y), 1) AS y_mean, round_even(max(x) - min(x), 1) AS x_span, round_even(max(y) - min(y), 1) AS y_span FROM sliced WHERE slice_id <> 'debris' GROUP BY slice_id")
 def slice_summary(spark, d):
     return sp.slice_summary(slice_clusters(spark, d))
 
 
+@query(f"WITH RECURSIVE {CELLS}, {EPS_PAIRS} SELECT id, x, y, CASE WHEN count(*) OVER (PARTITION BY cluster) >= 40 THEN number::VARCHAR END AS colony FROM found LEFT JOIN num USING (cluster)")
+def colonies(spark, d):
+    return sp.colonies(cells(spark, d), 250.0, 4, 40)
+
+
+@query(f"WITH {CELLS}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM cells GROUP BY 1), marks AS (SELECT arg_min(c.id, (sqrt((x - mx) * (x - mx) + (y - my) * (y - my)), c.id)) AS id FROM cells c JOIN m USING (label) GROUP BY label) SELECT a.id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM cells a CROSS JOIN (SELECT * FROM cells JOIN marks USING (id)) b GROUP BY a.id")
+def centroid_distance(spark, d):
+    return sp.centroid_distance(sp.marked_centroids(cells(spark, d).select("id", "x", "y", F.col("label").alias("colony"))))
+
+
+@query(f"WITH {CELLS}, {NEAR}, {WEIGHTS}, {COUNTS}, o AS (SELECT src, dst, b.x - a.x AS dx, b.y - a.y AS dy FROM weights JOIN cells a ON a.id = src JOIN cells b ON b.id = dst), s AS (SELECT src, count(*) + 1e-6 AS n, sum(dx) AS x, sum(dy) AS y, sum(dx * dx) + 1e-6 AS xx, sum(dx * dy) AS xy, sum(dy * dy) + 1e-6 AS yy FROM o GROUP BY src), t AS (SELECT src, gene, sum(value) AS t, sum(dx * value) AS tx, sum(dy * value) AS ty FROM o JOIN counts ON dst = cell GROUP BY src, gene), r AS (SELECT t.src AS cell, gene, (-(x * yy - xy * y) * t + (n * yy - y * y) * tx - (n * xy - x * y) * ty) / (n * (xx * yy - xy * xy) - x * (x * yy - xy * y) + y * (x * xy - xx * y)) AS bx, ((x * xy - xx * y) * t - (n * xy - x * y) * tx + (n * xx - x * x) * ty) / (n * (xx * yy - xy * xy) - x * (x * yy - xy * y) + y * (x * xy - xx * y)) AS by_ FROM t JOIN s USING (src)) SELECT cell, gene, round(sqrt(bx * bx + by_ * by_), 5) AS value FROM r")
+def neighbourhood_slopes(spark, d):
+    c = cells(spark, d)
+    return sp.neighbourhood_gradient(sp.kernel_weights(c, 6), c, count_matrix(spark, d), "regression").withColumn("value", F.round("value", 5))
+
+
+@query(f"WITH {CELLS} SELECT min(x) - (max(x) - min(x)) * 0.05 AS xmin, max(x) + (max(x) - min(x)) * 0.05 AS xmax, min(y) - (max(y) - min(y)) * 0.05 AS ymin, max(y) + (max(y) - min(y)) * 0.05 AS ymax FROM cells")
+def data_extent(spark, d):
+    return sp.data_extent(cells(spark, d))
+
+
+@query("WITH g AS (SELECT median(gap) AS m FROM (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM (SELECT DISTINCT l_partkey AS x FROM lineitem)) WHERE gap > 0 UNION ALL SELECT median(gap) FROM (SELECT y - lag(y) OVER (ORDER BY y) AS gap FROM (SELECT DISTINCT l_suppkey AS y FROM lineitem)) WHERE gap > 0) SELECT min(m)::DOUBLE AS side FROM g")
+def square_size(spark, d):
+    return spark.createDataFrame([(sp.square_size(bins(spark, d)),)], "side double")
+
+
 @query("SELECT floor(l_partkey / 16)::BIGINT AS bx, floor(l_suppkey / 16)::BIGINT AS by_, l_returnflag AS gene, sum(l_quantity) AS value FROM lineitem GROUP BY ALL")
 def rebinned(spark, d):
     return ct.rebinned(bins(spark, d), 16).withColumnRenamed("by", "by_")
@@ -176,18 +205,42 @@ def pearson_residuals(spark, d):
 def variable_features(spark, d):
     counts = count_matrix(spark, d)
     sums = counts.groupBy("cell").agg(F.sum("value").alias("umi"))
-    rows = ct.residuals(counts, moment_model(counts, sums), sums.select("cell", F.log10("umi").alias("log_umi")), clip=5.0)
-    return ct.top_features(ct.residual_variance(rows), 10).withColumn("residual_variance", F.round("residual_variance", 6))
+    rows = ct.residual_moments(counts, moment_model(counts, sums), sums.select("cell", F.log10("umi").alias("log_umi")), clip=5.0)
+    return ct.top_features(rows.drop("residual_mean"), 10).withColumn("residual_variance", F.round("residual_variance", 6))
+
 
+MOMENTS = f"m AS (SELECT gene, sum(value) / {N_CELLS} AS mean, CASE WHEN sum(value * value) - sum(value) * sum(value) / {N_CELLS} > 0 THEN sqrt((sum(value * value) - sum(value) * sum(value) / {N_CELLS}) / ({N_CELLS} - 1)) ELSE 1 END AS sd FROM counts GROUP BY gene)"
 
-@query(f"WITH {COUNTS}, v AS (SELECT cell, gene, value, avg(value) OVER (PARTITION BY gene) AS m, stddev_samp(value) OVER (PARTITION BY gene) AS s FROM counts) SELECT cell, gene, round(least((value - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 10), 6) + 0.0 AS value FROM v")
+
+@query(f"WITH {COUNTS}, {MOMENTS} SELECT cell, gene, round(least(value / sd, 10), 6) AS value FROM counts JOIN m USING (gene)")
 def scaled_counts(spark, d):
-    return ct.scaled(count_matrix(spark, d)).withColumn("value", F.round("value", 6) + 0.0)
+    return ct.scaled(count_matrix(spark, d), table(spark, d, "customer").count()).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {COUNTS}, {MOMENTS} SELECT c_custkey AS cell, gene, round(greatest(least((coalesce(value, 0) - mean) / sd, 10), -10), 6) + 0.0 AS value FROM customer CROSS JOIN m LEFT JOIN counts USING (gene) WHERE false UNION ALL SELECT g.cell, g.gene, round(greatest(least((coalesce(value, 0) - mean) / sd, 10), -10), 6) + 0.0 FROM (SELECT c_custkey AS cell, m.* FROM customer CROSS JOIN m) g LEFT JOIN counts c ON c.cell = g.cell AND c.gene = g.gene")
+def scaled_and_centred(spark, d):
+    every = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"))
+    return ct.scaled_dense(count_matrix(spark, d), every).withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query(f"WITH {COUNTS}, q AS (SELECT gene, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM counts GROUP BY gene) SELECT cell, gene, round(CASE WHEN hi > lo THEN (least(greatest(value, lo), hi) - lo) / (hi - lo) ELSE 0 END, 9) AS value FROM counts JOIN q USING (gene)")
+DENSE = "dense AS (SELECT c_custkey AS cell, g.gene, coalesce(c.value, 0) AS value FROM customer CROSS JOIN (SELECT DISTINCT gene FROM counts) g LEFT JOIN counts c ON c.cell = c_custkey AND c.gene = g.gene)"
+
+
+@query(f"WITH {COUNTS}, {DENSE}, q AS (SELECT gene, quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98) AS hi FROM dense GROUP BY gene) SELECT cell, gene, round(CASE WHEN hi > lo THEN (least(greatest(value, lo), hi) - lo) / (hi - lo) ELSE 0 END, 9) AS value, round(CASE WHEN hi > lo THEN (least(greatest(0, lo), hi) - lo) / (hi - lo) ELSE 0 END, 9) AS zero FROM counts JOIN q USING (gene)")
 def percentile_scaled(spark, d):
-    return ct.percentile_scaled(count_matrix(spark, d), 0.02, 0.98).withColumn("value", F.round("value", 9))
+    return ct.percentile_scaled(count_matrix(spark, d), table(spark, d, "customer").count(), 0.02, 0.98).withColumn("value", F.round("value", 9)).withColumn("zero", F.round("zero", 9))
+
+
+@query(f"WITH {COUNTS}, p AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) AS place FROM counts) SELECT cell, sum(value) AS total_counts, count(*) AS n_genes_by_counts, round(ln(1 + sum(value)), 9) AS log1p_total_counts, round(ln(1 + count(*)), 9) AS log1p_n_genes_by_counts, round(100 * sum(value) FILTER (WHERE place <= 5) / sum(value), 9) AS pct_counts_in_top_5_genes FROM p GROUP BY cell")
+def quality_metrics(spark, d):
+    rows = ct.quality_metrics(count_matrix(spark, d), (5,))
+    return rows.select("cell", "total_counts", "n_genes_by_counts", *(F.round(c, 9).alias(c) for c in rows.columns[3:]))
+
+
+@query(f"WITH {COUNTS} SELECT gene, count(*) AS n_cells_by_counts, sum(value) AS total_counts, round(sum(value) / {N_CELLS}, 9) AS mean_counts, round(ln(1 + sum(value)), 9) AS log1p_total_counts, round(ln(1 + sum(value) / {N_CELLS}), 9) AS log1p_mean_counts, round(100 * (1 - count(*) / {N_CELLS}), 9) AS pct_dropout_by_counts FROM counts GROUP BY gene")
+def gene_quality(spark, d):
+    rows = ct.gene_quality(count_matrix(spark, d), table(spark, d, "customer").count())
+    return rows.select("gene", "n_cells_by_counts", "total_counts", *(F.round(c, 9).alias(c) for c in rows.columns[3:]))
 
 
 LISTS = "lists AS (SELECT l_returnflag AS list, p_brand AS gene, row_number() OVER (PARTITION BY l_returnflag ORDER BY sum(l_quantity) DESC, p_brand) AS rank FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 QUALIFY rank <= 12)"

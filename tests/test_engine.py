@@ -1,4 +1,6 @@
 import math
+import random
+import statistics
 
 import duckdb
 import pytest
@@ -8,7 +10,6 @@ import __spark_entry__ as entry_module
 from glyphloom.functions import scalars as sc
 from glyphloom.operators import counts as ct
 from glyphloom.operators import relations as rl
-from glyphloom.operators import spatial as sp
 from glyphloom.plans import registry
 from glyphloom.sources import readers
 
@@ -35,28 +36,6 @@ def test_entry(spark):
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-def points(spark, data):
-    return spark.createDataFrame(data, "id long, x double, y double")
-
-
-def test_label_distance_of_three_points(spark):
-    obs = spark.createDataFrame([(0, 0.0, 0.0, "target"), (1, 10.0, 0.0, "other"), (2, 0.0, 20.0, "other")], "id long, x double, y double, label string")
-    got = {r.id: (r.d_px, r.d_um) for r in sp.label_distance(obs, "target", mpp=0.5).collect()}
-    assert got == {0: (0, 0), 1: (10, 5), 2: (20, 10)}
-    assert {r.id: r.d_um for r in sp.label_distance(obs, "target", 0.5, 0.25).collect()} == {0: 0, 1: 20, 2: 40}
-
-
-def test_weights_sum_to_one_with_equal_points(spark):
-    w = sp.kernel_weights(points(spark, [(0, 0.0, 0.0), (1, 0.0, 0.0), (2, 1.0, 0.0), (3, 2.0, 0.0)]), 2)
-    assert all(math.isclose(r.s, 1) for r in w.groupBy("src").agg(F.sum("w").alias("s")).collect())
-
-
-def test_slices_of_two_blobs(spark):
-    data = [(i, 100.0 * (i // 50) * 10 + i % 7, 5.0 * (i % 11)) for i in range(100)] + [(1000, 9e5, 9e5)]
-    got = {r.id: r.slice_id for r in sp.slices(points(spark, data), 20, 3, 10).collect()}
-    assert got[0] != got[99] and got[1000] == "debris" and {got[i] for i in range(100)} == {"S001", "S002"}
-
-
 def test_polygons(spark):
     ring = sc.rectangle(F.lit(0), F.lit(0), F.lit(4), F.lit(2))
     r = spark.range(1).select(sc.signed_area(ring).alias("a"), sc.centroid(ring).alias("c"), sc.wkt(ring).alias("w"), sc.parse_wkt(sc.wkt(ring)).alias("p"), sc.inside(F.lit(1.0), F.lit(1.0), ring).alias("i"), sc.inside(F.lit(0.0), F.lit(1.0), ring).alias("e")).first()
@@ -69,16 +48,28 @@ def test_colours(spark):
     assert r.h == "#0080ff" and r.c == [1, 0, 0]
 
 
-def test_poisson_residual(spark):
-    df = spark.createDataFrame([(0.0, 1.0), (2.0, 2.0), (4.0, 3.0)], "y double, mu double")
-    got = [r.r for r in df.select(ct.pearson_residual(F.col("y"), F.col("mu"), F.lit(float("inf")), 0.0).alias("r")).collect()]
-    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, [(0 - 1) / 1, 0.0, 1 / math.sqrt(3)], strict=True))
-
-
-def test_feature_ties(spark):
-    lists = [(i, r, g) for i, l in enumerate([["g1", "g2", "g3", "g4"], ["g2", "g1", "g5", "g3"], ["g1", "g3", "g2", "g6"]]) for r, g in enumerate(l, 1)]
-    got = [r.gene for r in ct.integration_features(spark.createDataFrame(lists, "list int, rank int, gene string"), 3).collect()]
-    assert got[0] == "g1" and set(got) == {"g1", "g2", "g3"}
+def test_residuals_against_scalar_formulas(spark):
+    r = random.Random(3)
+    data = [(float(r.randrange(9)), r.uniform(0.1, 9), r.choice([math.inf, r.uniform(0.2, 50)]), r.choice([-math.inf, 2.0])) for _ in range(60)]
+    df = spark.createDataFrame(data, "y double, mu double, theta double, floor double")
+    rows = df.select("*", ct.pearson_residual(F.col("y"), F.col("mu"), F.col("theta"), F.col("floor")).alias("p"), ct.deviance_residual(F.col("y"), F.col("mu"), F.col("theta")).alias("d")).collect()
+    for x in rows:
+        assert math.isclose(x.p, (x.y - x.mu) / math.sqrt(max(x.mu + x.mu**2 / x.theta, x.floor)), abs_tol=1e-12)
+        if math.isfinite(x.theta):
+            inner = (x.y * math.log(x.y / x.mu) if x.y else 0) - (x.y + x.theta) * math.log((x.y + x.theta) / (x.mu + x.theta))
+            assert math.isclose(x.d, math.copysign(math.sqrt(max(2 * inner, 0)), x.y - x.mu), abs_tol=1e-9)
+
+
+def test_integration_features_against_counting(spark):
+    r = random.Random(4)
+    lists = {i: r.sample([f"g{k:02d}" for k in range(15)], 6) for i in range(5)}
+    rank = {}
+    for genes in lists.values():
+        for k, g in enumerate(genes, 1):
+            rank.setdefault(g, []).append(k)
+    want = sorted(rank, key=lambda g: (-len(rank[g]), statistics.median(rank[g]), g))[:7]
+    df = spark.createDataFrame([(i, k, g) for i, genes in lists.items() for k, g in enumerate(genes, 1)], "list int, rank int, gene string")
+    assert [x.gene for x in ct.integration_features(df, 7).collect()] == want
 
 
 def test_checked_join_refuses(spark):
