@@ -107,7 +107,7 @@ def mixed(identity: DataFrame, context: DataFrame, share: float) -> DataFrame:
     return both.select("cell", sc.mixed_embedding(F.col("a"), F.col("b"), share).alias("v"))
 
 
-def harmonised(rows: DataFrame, batch: str = "batch", clusters: int | None = None, theta: float = 2.0, ridge: float = 1.0, sigma: float = 0.1, rounds: int = 10, tol: float = 1e-4, seed: int = 0) -> DataFrame:
+def harmonised(rows: DataFrame, batch: str = "batch", clusters: int | None = None, theta: float = 2.0, ridge: float = 1.0, sigma: float = 0.1, rounds: int = 6, inner: int = 4, tol: float = 1e-4, seed: int = 0) -> DataFrame:
     """rows (cell, batch, v) with v corrected for batches by soft clusters (Korsunsky et al. 2019).
 
     Cells have cosine-normalised places and shares in clusters that favour a mixture of batches; in each cluster a ridge regression on batches
@@ -177,13 +177,15 @@ def harmonised(rows: DataFrame, batch: str = "batch", clusters: int | None = Non
 
     last = np.inf
     for _ in range(rounds):
-        found = sums((centres, offsets, observed))
-        observed = found["o"]
-        centres = found["c"] / np.maximum(np.linalg.norm(found["c"], axis=1, keepdims=True), 1e-12)
+        for _ in range(inner):  # shares and centres settle before each correction; halfway steps keep batches from swapping clusters
+            found = sums((centres, offsets, observed))
+            observed = (observed + found["o"]) / 2
+            centres = found["c"] / np.maximum(np.linalg.norm(found["c"], axis=1, keepdims=True), 1e-12)
         for c in range(k):  # ridge regression of places on an intercept and the batches; the intercept isn't shrunk
             design = np.zeros((b_n + 1, b_n + 1))
-            design[0, 0], design[0, 1:], design[1:, 0] = observed[c].sum(), observed[c], observed[c]
-            design[1:, 1:] = np.diag(observed[c] + ridge)
+            share = found["o"][c]
+            design[0, 0], design[0, 1:], design[1:, 0] = share.sum(), share, share
+            design[1:, 1:] = np.diag(share + ridge)
             right = np.vstack([found["s"][c].sum(0), found["s"][c]])
             offsets[c] = np.linalg.lstsq(design, right, rcond=None)[0][1:]
         if abs(last - found["cost"]) <= tol * abs(found["cost"]):
