@@ -10,14 +10,16 @@ H + 1 + k. Of two sets that link, k + 1 of the undivided segments agree at least
 `allocate` picks m, n1 and k for each band by cost: the signatures that it makes, and pairs expected from empty segments.
 
     1  Each task emits the signature of every segment (and of its one-deletion neighbourhood where allowed) of every set it
-       hasn't seen, packed by target partition. Empty segments count against k and are left out unless a set has more of them.
+       hasn't seen, packed by target partition: 6 bytes each, however many partitions there are, as a set goes by its place in a
+       chunk. Empty segments count against k and are left out unless a set has more of them; what k leaves, the band and the set's
+       fingerprint are noted once for each place.
     2  A target partition sorts its signatures. Buckets of up to CAP sets give pairs with the number of agreeing segments;
        of larger (hot) ones it counts, for each set, in how many it is.
     3  A pair is a candidate if its agreeing segments number k + 1, less the empty and the hot ones that either set has. Hot
        buckets matter only for sets that have more hot segments than k spares; these sets, and no others, are also met by
        their rarest shingles, as many as the linked can't miss each other in. The holders of such a shingle are compared with
        the most central of them, and then, across the components found so far, with each other, block by block inside tasks.
-       The links of such sets with each other are counted once more, all of them, each at one list.
+       The links of such sets with each other are counted inside their components, each pair of sets once, block by block.
     4  Candidates are verified on the shingle sets of their whole texts; components of verified links give the result.
 
 Nothing is dropped: a pair that no bucket shows is one that can't link. Equal sets share one node from the start, so
@@ -37,7 +39,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, SpanHash, documents, mix64, partitions, release, removed, runs, small_batches, text_bytes, tidy, words_of, written
@@ -52,6 +55,12 @@ HOT_COST = 40
 CHUNK_LINKS = 128
 #: Shingles of the sets of one block, and as how many a set counts at least: at most BLOCK / LEAST sets make a block on average.
 BLOCK, LEAST = 1 << 19, 512
+#: The same for counting links, and sets that are compared with a block at once.
+COUNT_LEAST, STRIP = 128, 512
+#: Bytes of signatures in a target partition, which one task sorts.
+TARGET = 12 << 20
+#: Sets of a chunk, so that a place (set and band) has 16 bits.
+PLACES = 1 << 14
 #: Sets of a list that is compared by pairs of ids; those of longer lists are compared block by block.
 SHORT = 64
 #: Shingles whose presence in the sets of two blocks is held as a matrix at once.
@@ -135,8 +144,8 @@ def allocate(sizes: dict[int, int], largest: int, percent: int = PERCENT) -> Ban
     return Bands(np.array(low, np.int64), m, n1, k)
 
 
-def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(signature, set, spare, band) for each of the bands that a set takes part in; spare is k less the empty segments left out."""
+def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each distance of a band from the sets' own: that distance, signatures and their sets; then sets and their spares (k less the empty segments left out)."""
     size = np.diff(cut)
     own = np.searchsorted(bands.low, size, "right") - 1
     least = np.searchsorted(bands.low, -(-size * percent // 100), "right") - 1
@@ -177,31 +186,37 @@ def signatures(h: np.ndarray, cut: np.ndarray, bands: Bands, percent: int) -> It
             sig.append(mix64(sums[cell[divided]] - v[divided] + name[cell[divided]]))
             at.append(r[divided])
         at = np.concatenate(at)
-        yield np.concatenate(sig), which[at], spare[at], band[at]
+        yield back, np.concatenate(sig), which[at], which, spare
 
 
-MET = "kind string, a long, b long, spare_a int, spare_b int, band int, n long"
+MET = "kind string, a long, b long, spare int, n long"
 
 
-def _blob(sig: np.ndarray, count: np.ndarray, nodes: np.ndarray, spare: np.ndarray, band: np.ndarray) -> bytes:
-    return np.array([len(nodes), len(sig)], "<u4").tobytes() + nodes.astype("<u8").tobytes() + count.astype("<u4").tobytes() + spare.astype("<u4").tobytes() + band.astype("<u1").tobytes() + (sig >> np.uint64(32)).astype("<u4").tobytes() + (sig >> np.uint64(16)).astype("<u2").tobytes()
+def _packed(chunk: int, *columns: tuple[np.ndarray, str]) -> bytes:
+    return np.array([chunk, len(columns[0][0])], "<u8").tobytes() + b"".join(c.astype(kind).tobytes() for c, kind in columns)
 
 
-def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(blob, "<u4", 2).tolist()
-    at = 8
-    out = []
-    for kind, count in (("<u8", n), ("<u4", n), ("<u4", n), ("<u1", n), ("<u4", m), ("<u2", m)):
-        out.append(np.frombuffer(blob, kind, count, at))
+def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns, the last of which is a place, made one among all chunks."""
+    chunk, n = np.frombuffer(blob, "<u8", 2).tolist()
+    at, out = 16, []
+    for kind in kinds:
+        out.append(np.frombuffer(blob, kind, n, at))
         at += out[-1].nbytes
-    nodes, count, spare, band, high, low = out
-    head = np.repeat(np.arange(n), count)
-    return high.astype(np.uint64) << np.uint64(16) | low, nodes[head], spare[head].astype(np.int32), band[head].astype(np.int32)
+    return [*out[:-1], out[-1].astype(np.int64) + (chunk << 16)]
+
+
+#: Columns of a packed run of signatures (their upper half, place), and of one of sets (fingerprint, spare, place).
+SIGNED, NOTED = ("<u4", "<u2"), ("<u8", "<u4", "<u2")
+
 
+def _met(kind: str, n: int, a: np.ndarray, b: np.ndarray | None = None, spare: np.ndarray | None = None, times: np.ndarray | None = None) -> pa.RecordBatch:
+    column = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x.astype(t.to_pandas_dtype()), t)
+    return pa.record_batch([pa.array([kind] * n), column(a, pa.int64()), column(b, pa.int64()), column(spare, pa.int32()), column(times, pa.int64())], ["kind", "a", "b", "spare", "n"])
 
-def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarray, cap: int = CAP) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of sets with n equal signatures, and sets (a) with n signatures in hot buckets, as rows of MET."""
-    schema = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("spare_a", pa.int32()), ("spare_b", pa.int32()), ("band", pa.int32()), ("n", pa.int64())])
+
+def buckets(sig: np.ndarray, place: np.ndarray, cap: int = CAP) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of places with n equal signatures, and places (a) with n signatures in hot buckets, as rows of MET."""
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     same = np.flatnonzero(sig[1:] == sig[:-1])
@@ -209,22 +224,19 @@ def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarr
         return
     keep = np.zeros(len(sig), bool)
     keep[same] = keep[same + 1] = True
-    order, sig = order[keep], sig[keep]
-    node, spare, band = node[order], spare[order], band[order]
-    order = np.lexsort((node, sig))
-    sig, node, spare, band = sig[order], node[order], spare[order], band[order]
+    sig, place = sig[keep], place[order[keep]]
+    order = np.lexsort((place, sig))
+    sig, place = sig[order], place[order]
     fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node, spare, band = sig[fresh], node[fresh], spare[fresh], band[fresh]
+    fresh[1:] = (sig[1:] != sig[:-1]) | (place[1:] != place[:-1])
+    sig, place = sig[fresh], place[fresh]
     first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     size = np.diff(np.append(first, len(sig)))
-    # equal lists of one band count once, with their number
-    print_ = np.add.reduceat(mix64(node), first) * np.uint64(3) + band[first].astype(np.uint64)
-    _, pick, times = np.unique(print_, return_index=True, return_counts=True)
+    # equal lists count once, with their number
+    _, pick, times = np.unique(np.add.reduceat(mix64(place.view(np.uint64)), first), return_index=True, return_counts=True)
     some = size[pick] > 1
     pick, times = pick[some], times[some]
     first, size = first[pick], size[pick]
-    signed = node.view(np.int64) if node.dtype == np.uint64 else node.astype(np.uint64).view(np.int64)
     small = np.flatnonzero(size <= cap)
     parts = []
     for s in np.unique(size[small]).tolist():
@@ -233,21 +245,21 @@ def buckets(sig: np.ndarray, node: np.ndarray, spare: np.ndarray, band: np.ndarr
         parts.append(((first[of][:, None] + i).ravel(), (first[of][:, None] + j).ravel(), np.repeat(times[of], len(i))))
     if parts:
         i, j, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        key = np.lexsort((band[i], node[j], node[i]))
-        i, j, n = i[key], j[key], n[key]
-        new = np.flatnonzero(np.append(True, (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1]) | (band[i][1:] != band[i][:-1])))
-        total, i, j = np.add.reduceat(n, new), i[new], j[new]
-        for at in range(0, len(i), 20_000):
-            x, y = i[at : at + 20_000], j[at : at + 20_000]
-            yield pa.record_batch([pa.array(["pair"] * len(x)), pa.array(signed[x]), pa.array(signed[y]), pa.array(spare[x]), pa.array(spare[y]), pa.array(band[x]), pa.array(total[at : at + 20_000])], schema=schema)
+        a, b = place[i], place[j]
+        key = np.lexsort((b, a))
+        a, b, n = a[key], b[key], n[key]
+        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        total, a, b = np.add.reduceat(n, new), a[new], b[new]
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            yield _met("pair", len(x), x, y, times=total[at : at + 20_000])
     if len(hot := np.flatnonzero(size > cap)):
         row = np.repeat(first[hot] - np.cumsum(size[hot]) + size[hot], size[hot]) + np.arange(size[hot].sum())
-        n = np.repeat(times[hot], size[hot])
-        order = np.lexsort((band[row], node[row]))
-        row, n = row[order], n[order]
-        new = np.flatnonzero(np.append(True, (node[row][1:] != node[row][:-1]) | (band[row][1:] != band[row][:-1])))
-        total, row = np.add.reduceat(n, new), row[new]
-        yield pa.record_batch([pa.array(["hot"] * len(row)), pa.array(signed[row]), pa.nulls(len(row), pa.int64()), pa.array(spare[row]), pa.nulls(len(row), pa.int32()), pa.array(band[row]), pa.array(total)], schema=schema)
+        a, n = place[row], np.repeat(times[hot], size[hot])
+        order = np.argsort(a, kind="stable")
+        a, n = a[order], n[order]
+        new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        yield _met("hot", len(new), a[new], times=np.add.reduceat(n, new))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
@@ -391,8 +403,8 @@ def block_links(size: np.ndarray, flat: np.ndarray, component: np.ndarray, left:
     return out
 
 
-def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame:
-    """Links (u, v) between sets of one list and different components. held: (list, node, n, component, first).
+def compared(held: DataFrame, own: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int, known: DataFrame) -> DataFrame:
+    """Links (u, v) between sets of one list and different components. held: (list, node, n, component, first); own: (node, n, lists) of all its nodes.
 
     Lists of one component are left out. Lists that hold the same sets as another count once, and so do those whose sets all are on one other list. Of a list of up to
     SHORT sets the pairs are verified that sizes allow and that weren't yet (known: u, v); the sets of a longer list are dealt into blocks by hash, and each pair of blocks is compared by one group; a set moves once for each
@@ -422,116 +434,76 @@ def compared(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, perc
     dealt = listed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     with_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = with_.select("node", "component", F.struct("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block").alias("task"))
-    roles, path = written(tasks.groupBy("node", "component").agg(F.collect_list("task").alias("tasks")).join(reps, "node"), "tasks")
-    rows = of_nodes(docs, roles).select("node", "component", "tasks", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "component", "set", "list", "x", "y", "block"]
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            for i, j in runs(offsets):
-                h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                own = node_of(h, cut).view(np.int64)
-                for at, node in enumerate(b.column("node").slice(i, j - i).to_pylist()):
-                    if own[at] != node:  # an id may have more than one text
-                        continue
-                    todo = b.column("tasks")[i + at].values
-                    n, blob, component = len(todo), h[cut[at] : cut[at + 1]].tobytes(), b.column("component")[i + at].as_py()
-                    for k in range(0, n, step := max(1, (8 << 20) // max(1, len(blob)))):
-                        some = todo.slice(k, step)
-                        m = len(some)
-                        yield pa.record_batch([pa.array([node] * m, pa.int64()), pa.array([component] * m, pa.int64()), pa.array([blob] * m, pa.binary()), *some.flatten()], names)
+    rows = own.select("node", "lists").join(tasks, "node").select("node", "component", "lists", "task.*")
 
     def linked(table: pa.Table) -> pa.Table:
         node, component, block, x, y = (table.column(c).to_numpy() for c in ("node", "component", "block", "x", "y"))
-        held_ = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
+        lists = table.column("lists").combine_chunks()
         every = np.arange(len(node))
         left, right = (every, every) if x[0] == y[0] else (every[block == x[0]], every[block == y[0]])
-        pairs = block_links(np.array([len(s) for s in held_]), np.concatenate(held_), component, left, right, percent)
+        pairs = block_links(lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy(), component, left, right, percent)
         return pa.table({"u": pa.array([node[a] for a, _ in pairs], pa.int64()), "v": pa.array([node[b] for _, b in pairs], pa.int64())})
 
-    kind = "node long, component long, set binary, list long, x int, y int, block int"
-    out, _ = written(rows.mapInArrow(tidy(sets), kind).groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
+    out, _ = written(rows.groupBy("list", "x", "y").applyInArrow(linked, "u long, v long"), "found")
     release(spark)
-    removed(spark, path, first)
+    removed(spark, first)
     return short.union(out)
 
 
-def link_counts(held: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, n): with how many others a set of held links. held: (list, node, n, first), all lists that linked sets can't miss each other in.
+def link_counts(own: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(node, n): with how many others of own (node, n, lists) a set links. labels: (node, component) of all that have a link.
 
-    Pairs of lists of up to SHORT sets are verified by ids. Longer ones are compared block by block, and a pair counts at the least of
-    the long lists that both are on, if no short one has both: tasks return counts of sets, not pairs.
+    Sets that link share a component, so each pair of a component's sets is compared once: its sets are dealt into blocks by hash, and each
+    two blocks meet in one group. Groups return a count for each set, not pairs.
     """
-    spark = held.sparkSession
-    whole = held.groupBy("list").agg(F.count("*").alias("sets"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print"), F.min("first").alias("first"), F.max("first").alias("last"), F.ceil(F.sum(F.greatest("n", F.lit(LEAST))) / BLOCK).cast("int").alias("blocks"))
-    whole = whole.where("sets > 1").where((F.col("first") != F.col("last")) | (F.col("first.list") == F.col("list")))
-    whole = whole.groupBy("sets", "print").agg(F.min(F.struct("list", "blocks")).alias("own")).select("own.*", "sets")
-    listed, listed_at = written(held.join(whole, "list").select("list", "node", "n", "blocks", "sets"), "listed")
-
-    def later(x: Column) -> Column:
-        fits = lambda y: (y["node"] > x["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
-        return F.transform(F.filter("held", fits), lambda y: F.struct(x["node"].alias("u"), y["node"].alias("v")))
-
-    is_short = F.col("sets") <= SHORT
-    short = listed.where(is_short).groupBy("list").agg(F.collect_list(F.struct("node", "n")).alias("held"))
-    pairs = short.select(F.explode(F.flatten(F.transform("held", later))).alias("pair")).select("pair.*").distinct()
-    counts = verified(pairs, docs, reps, words, percent).select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    if not listed.where(~is_short).take(1):
-        return counts
-    dealt = listed.where(~is_short).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    with_ = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = with_.groupBy("node").agg(F.collect_list(F.struct("list", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")).alias("tasks"))
-    on = listed.groupBy("node").agg(F.collect_list(F.when(is_short, F.col("list"))).alias("brief"), F.collect_list(F.when(~is_short, F.col("list"))).alias("wide"))
-    roles, roles_at = written(tasks.join(on, "node").join(reps, "node"), "tasks")
-    rows = of_nodes(docs, roles).select("node", "tasks", "brief", "wide", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            for i, j in runs(offsets):
-                h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                own = node_of(h, cut).view(np.int64)
-                for at, node in enumerate(b.column("node").slice(i, j - i).to_pylist()):
-                    if own[at] != node:  # an id may have more than one text
-                        continue
-                    todo, blob = b.column("tasks")[i + at].values, h[cut[at] : cut[at + 1]].tobytes()
-                    brief, wide = (b.column(c)[i + at].values.to_numpy() for c in ("brief", "wide"))
-                    of = todo.field("list").to_numpy()
-                    for k in range(0, len(todo), step := max(1, (4 << 20) // max(1, len(blob)))):
-                        some = todo.slice(k, step)
-                        before = [np.concatenate([brief, wide[wide < x]]).tobytes() for x in of[k : k + step].tolist()]
-                        yield pa.record_batch([pa.array([node] * len(some), pa.int64()), pa.array([blob] * len(some), pa.binary()), pa.array(before, pa.binary()), *some.flatten()], ["node", "set", "before", "list", "x", "y", "block"])
+    members = own.select("node", "n").join(labels, "node")
+    blocks = members.groupBy("component").agg(F.count("*").alias("sets"), F.ceil(F.sum(F.greatest("n", F.lit(COUNT_LEAST))) / BLOCK).cast("int").alias("blocks")).where("sets > 1").drop("sets")
+    dealt = members.select("node", "component").join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    tasks, at = written(dealt.select("node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")), "tasks")
+    rows = own.select("node", "lists").join(tasks, "node").select("node", "lists", "component", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
     def linked(table: pa.Table) -> pa.Table:
         node, block, x, y = (table.column(c).to_numpy() for c in ("node", "block", "x", "y"))
-        held_, before = ([np.frombuffer(s, kind) for s in table.column(c).to_pylist()] for c, kind in (("set", np.uint64), ("before", np.int64)))
+        lists = table.column("lists").combine_chunks()
+        size, flat = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
         every = np.arange(len(node))
         left, right = (every, every) if x[0] == y[0] else (every[block == x[0]], every[block == y[0]])
-        link = linked_matrix(np.array([len(s) for s in held_]), np.concatenate(held_), left, right, percent)
-        link &= overlaps(np.array([len(s) for s in before]), np.concatenate(before), left, right) == 0
-        if x[0] == y[0]:
-            link = np.triu(link, 1)
-        n = np.zeros(len(node), np.int64)
-        n[left] += link.sum(1)
-        n[right] += link.sum(0)
+        both, n = overlaps(size, flat, left, right), np.zeros(len(node), np.int64)
+        for at in range(0, len(left), STRIP):
+            a, shared = left[at : at + STRIP], both[at : at + STRIP]
+            link = 100 * shared >= percent * (size[a].astype(np.float32)[:, None] + size[right].astype(np.float32) - shared)
+            if x[0] == y[0]:
+                link &= a[:, None] < right
+            n[a] += link.sum(1)
+            n[right] += link.sum(0)
         return pa.table({"node": node[n > 0], "n": n[n > 0]})
 
-    kind = "node long, set binary, before binary, list long, x int, y int, block int"
-    found, _ = written(rows.mapInArrow(tidy(sets), kind).groupBy("list", "x", "y").applyInArrow(linked, "node long, n long"), "counts")
-    release(spark)
-    removed(spark, roles_at, listed_at)
-    return counts.union(found)
+    out, _ = written(rows.groupBy("component", "x", "y").applyInArrow(linked, "node long, n long"), "counts")
+    release(own.sparkSession)
+    removed(own.sparkSession, at)
+    return out
+
 
+def _named(slim: DataFrame, labels: DataFrame, degree: DataFrame | None) -> DataFrame:
+    """The result: slim (doc_id, n_shingles, node) with components, and links where degree (node, n_links) is given."""
+    named = slim.join(labels, "node", "left")
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if degree is not None else []
+    named = named.join(degree, "node", "left") if degree is not None else named
+    named, _ = written(named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"), *counted), "named")
+    # a class of one row is its own component
+    least, _ = written(named.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "least")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id")
+    return named.join(least, "class", "left").select("doc_id", "n_shingles", component, *(["n_links"] if counted else []))
 
-def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP) -> DataFrame:
+
+def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cap: int = CAP, count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that links reach), n_links.
 
-    n_links is the number of sets that its set links with.
+    n_links is the number of sets that its set links with. Counting the links of a group of near copies compares all its sets, which
+    components alone don't need: without count_links the column is left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n_parts = partitions(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,7 +515,9 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     slim, _ = written(plain.mapInArrow(tidy(described), "doc_id long, n_shingles long, node long"), "sets")
     live = slim.where("doc_id is not null and n_shingles > 0")
-    largest = live.agg(F.max("n_shingles")).first()[0] or 0
+    whole = live.agg(F.max("n_shingles").alias("largest"), F.sum("n_shingles").alias("all")).first()
+    largest = whole["largest"] or 0
+    n_parts = max(partitions(spark), -(-(whole["all"] or 0) * 6 // TARGET))
     low = boundaries(largest, percent)
     counts: dict[int, int] = {}
     for r in live.groupBy(F.floor(F.log2("n_shingles") * 8).alias("at")).agg(F.countDistinct("node").alias("n")).collect():  # a few hundred at most
@@ -553,9 +527,10 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        chunk = TaskContext.get().partitionId() << 24
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
-            for i, j in runs(offsets):
+            for i, j in ((x, min(x + PLACES, to)) for at, to in runs(offsets) for x in range(at, to, PLACES)):
                 h, cut = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 node = node_of(h, cut)
                 new = np.zeros(len(node), bool)
@@ -565,52 +540,54 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
                         new[x] = True
                 size = np.diff(cut)
                 h, cut, node = h[np.repeat(new, size)], np.concatenate([[0], np.cumsum(size[new])]), node[new]
-                for sig, at, spare, of in signatures(h, cut, bands, percent):
-                    part = (sig & np.uint64(0xFFFF)).astype(np.int64) * n_parts >> 16 if n_parts <= 4096 else ((sig & np.uint64(0xFFFFFFFF)).astype(np.int64) * n_parts >> 32)
+                for back, sig, at, which, spare in signatures(h, cut, bands, percent):
+                    part = (sig & np.uint64(0xFFFFFFFF)).astype(np.int64) * n_parts >> 32
                     order = np.argsort(part, kind="stable")
-                    sig, at, spare, of, part = sig[order], at[order], spare[order], of[order], part[order]
+                    sig, place, part = sig[order] >> np.uint64(32), at[order] * 4 + back, part[order]
                     edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                    blobs, targets = [], []
-                    for x, y in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist(), strict=True):
-                        mine, head, back = np.unique(at[x:y], return_index=True, return_inverse=True)
-                        # in order of band and spare, so that these columns compress
-                        rank = np.lexsort((spare[x:y][head], of[x:y][head]))
-                        place = np.empty(len(rank), np.int64)
-                        place[rank] = np.arange(len(rank))
-                        head = head[rank]
-                        blobs.append(_blob(sig[x:y][np.argsort(place[back], kind="stable")], np.bincount(place[back]), node[mine[rank]], spare[x:y][head], of[x:y][head]))
-                        targets.append(int(part[x]))
+                    blobs = [_packed(chunk, *zip((sig[x:y], place[x:y]), SIGNED, strict=True)) for x, y in zip(edge.tolist(), np.append(edge[1:], len(part)).tolist(), strict=True)]
                     if blobs:
-                        yield pa.record_batch([pa.array(targets, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                        noted = [_packed(chunk, *zip((node[which], spare, which * 4 + back), NOTED, strict=True))] + [None] * (len(blobs) - 1)
+                        yield pa.record_batch([pa.array(part[edge], pa.int32()), pa.array(blobs, pa.binary()), pa.array(noted, pa.binary())], ["part", "blob", "noted"])
+                chunk += 1
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unblob(x) for b in batches for x in b.column("blob").to_pylist()]
+        held = []
+        for b in batches:
+            held += [_unpacked(x, *SIGNED) for x in b.column("blob").to_pylist()]
+            for x in b.column("noted").drop_null().to_pylist():
+                node, spare, place = _unpacked(x, *NOTED)
+                yield _met("set", len(node), place, node.astype(np.uint64).view(np.int64), spare)
         if held:
-            sig, node, spare, of = (np.concatenate(c) for c in zip(*held, strict=True))
+            sig, place = (np.concatenate(c) for c in zip(*held, strict=True))
             del held
-            yield from buckets(sig, node, spare, of, cap)
+            yield from buckets(sig, place, cap)
 
+    # copies of a set that has a row elsewhere stay out, as long as their ids fit a broadcast; else a place of theirs meets others as any set does
+    several = live.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    single = live.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1").select("doc_id")
+    copies, copies_at = written(live.join(several, "node").where("doc_id <> first").select("doc_id").join(single, "doc_id", "left_semi"), "copies")
     live_docs = plain.where("doc_id is not null and text is not null")
-    dealt = live_docs.mapInArrow(tidy(signed), "part int, blob binary").repartitionById(n_parts, F.col("part"))
+    live_docs = live_docs.join(F.broadcast(copies) if copies.count() * 16 <= BROADCAST_BYTES else copies, "doc_id", "left_anti")
+    dealt = live_docs.mapInArrow(tidy(signed), "part int, blob binary, noted binary").repartitionById(n_parts, F.col("part"))
     lists, at = written(dealt.mapInArrow(tidy(met), MET), "buckets")
     release(spark)
     reps = live.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heat = lists.where("kind = 'hot'").groupBy(F.col("a").alias("node"), "band").agg(F.sum("n").alias("hot"), F.min("spare_a").alias("spare"))
-    heat, _ = written(heat, "heat")
-    pairs = lists.where("kind = 'pair'").groupBy("a", "b", "band").agg(F.sum("n").alias("n"), F.min("spare_a").alias("spare_a"), F.min("spare_b").alias("spare_b"))
+    places = lists.where("kind <> 'pair'").groupBy(F.col("a").alias("place")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hot"), F.max("spare").alias("spare"), F.max("b").alias("node"))
+    places, places_at = written(places, "places")
+    pairs = lists.where("kind = 'pair'").groupBy("a", "b").agg(F.sum("n").alias("n"))
     for end in ("a", "b"):
-        own = heat.select(F.col("node").alias(end), "band", F.col("hot").alias(f"hot_{end}"))
-        pairs = pairs.join(own, [end, "band"], "left")
-    needed = F.greatest(*(F.col(f"spare_{e}") + 1 - F.coalesce(f"hot_{e}", F.lit(0)) for e in "ab"), F.lit(1))
-    candidates, _ = written(pairs.where(F.col("n") >= needed).select(F.col("a").alias("u"), F.col("b").alias("v")), "candidates")
-    removed(spark, at)
-    over, _ = written(heat.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
+        own = places.select(F.col("place").alias(end), F.col("node").alias(f"node_{end}"), (F.col("spare") + 1 - F.col("hot")).alias(f"needed_{end}"))
+        pairs = pairs.join(own, end)
+    enough = (F.col("n") >= F.greatest("needed_a", "needed_b", F.lit(1))) & (F.col("node_a") != F.col("node_b"))
+    candidates, _ = written(pairs.where(enough).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct(), "candidates")
+    over, _ = written(places.where("hot > spare").select("node").distinct().join(reps, "node"), "over")
+    removed(spark, at, places_at, copies_at)
     found = verified(candidates, plain, reps, words, percent)
-    counts = None
-    if over.take(1):
-        own, at = written(shingle_lists(plain, over, words), "shingles")
+    crowded = bool(over.take(1))
+    if crowded:
+        own, own_at = written(shingle_lists(plain, over, words), "shingles")
         prefix, _ = written(rarest(own, percent), "prefix")
-        removed(spark, at)
         release(spark)
         # the holder whose shingles are the most frequent on average is nearest to the middle of a group
         hubs = prefix.groupBy("list").agg(F.max_by("node", F.struct("middle", "node")).alias("u"))
@@ -619,22 +596,21 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         labels = components(found)
         of = prefix.join(labels, "node", "left").select("list", "node", "n", "first", F.coalesce("component", "node").alias("component"))
         of, _ = written(of, "lists")
-        found, _ = written(found.union(compared(of, plain, reps, words, percent, stars.union(candidates))), "found")
-        counts = link_counts(prefix, plain, reps, words, percent)
+        found, _ = written(found.union(compared(of, own, plain, reps, words, percent, stars.union(candidates))), "found")
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     labels = components(found)
+    if not count_links:
+        return _named(slim, labels, None)
     degree = found
-    if counts is not None:  # links of two sets that both have too many hot segments are counted there, all of them
+    if crowded:  # links of two sets that both have too many hot segments are counted in their components, all of them
         for end in ("u", "v"):
             degree = degree.join(over.select(F.col("node").alias(end), F.lit(1).alias(f"over_{end}")), end, "left")
         degree = degree.where("over_u is null or over_v is null")
     degree = degree.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    degree = (degree if counts is None else degree.union(counts)).groupBy("node").agg(F.sum("n").alias("n_links"))
-    named = slim.join(labels, "node", "left").join(degree, "node", "left")
-    named = named.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named, _ = written(named, "named")
-    least = named.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "n_links")
+    if crowded:
+        degree = degree.union(link_counts(own, labels, percent))
+        removed(spark, own_at)
+    return _named(slim, labels, degree.groupBy("node").agg(F.sum("n").alias("n_links")))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
