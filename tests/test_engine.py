@@ -10,7 +10,7 @@ import __spark_entry__ as entry_module
 from glyphloom.functions import scalars as sc
 from glyphloom.operators import counts as ct
 from glyphloom.operators import relations as rl
-from glyphloom.plans import registry
+from glyphloom.plans import extended, registry  # noqa: F401
 from glyphloom.sources import readers
 
 DATA = "/root/testdata/sf0.001"
