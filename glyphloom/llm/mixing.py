@@ -1,7 +1,8 @@
 """Operator 3, mixing sources to target weights by hierarchical budgets.
 
 Leaves are (domain, lang, source). A budget of tokens goes from the root to domains, languages and sources by their
-weights; what a node can hold is max_epochs times its tokens. A child whose share exceeds what it can hold is filled, and the
+weights: target weights that a caller gives for nodes of any level, and default ones (a function of the node's tokens) for the others, scaled so
+that the given weights are shares of their parent's budget. What a node can hold is max_epochs times its tokens. A child whose share exceeds what it can hold is filled, and the
 rest goes to its siblings in proportion to their weights, so a shortage reaches a node's ancestors' other children only when
 all its siblings are full. Sorted by capacity over weight, the filled children are a prefix, which two running sums tell: no
 iteration, and windows over leaves only.
@@ -50,8 +51,40 @@ def filled(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     return nodes.withColumn("common", level).withColumn("budget", F.when(F.col("full"), F.col("capacity")).otherwise(F.floor(F.col("common") * F.col("w")).cast("long"))).drop("level", "place", "full", "n_full", "common", "of_parent")
 
 
-def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain=domain_of, weight=weight_of) -> DataFrame:
-    """docs that the mix takes, with domain, n_tokens and copies (how often). share: the budget over all tokens."""
+#: Units of a parent's budget in which given weights are counted.
+PARTS = 1_000_000
+
+
+def targeted(nodes: DataFrame, parent: list[str], name: str, targets: dict[tuple, float]) -> DataFrame:
+    """nodes (parent, name, w, ...) with w from targets where they name the node, by (domain, lang, source) as far as its level; others share what is left by their w.
+
+    Given weights are shares of the parent's budget; they must be positive, and those of one parent 1 at most. Where no node is left for the
+    rest, or nothing is left for the others, the budget goes by the given weights alone (a weight of one part for the others).
+    """
+    depth = len(parent) + 1
+    own = {k: v for k, v in targets.items() if len(k) == depth}
+    if any(v <= 0 for v in own.values()):
+        raise ValueError("target weights must be positive")
+    for k in own:
+        if sum(v for x, v in own.items() if x[:-1] == k[:-1]) > 1 + 1e-9:
+            raise ValueError(f"target weights below {k[:-1]} are over 1")
+    if not own:
+        return nodes
+    table = nodes.sparkSession.createDataFrame([(*("-" if x is None else x for x in k), int(round(v * PARTS))) for k, v in own.items()], ", ".join(f"`{c}` string" for c in LEAF[:depth]) + ", target long")
+    joined = nodes.join(F.broadcast(table), list(LEAF[:depth]), "left")  # as many rows as the caller gave
+    whole = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+    given = F.coalesce(F.sum("target").over(whole), F.lit(0))
+    others = F.sum(F.when(F.col("target").isNull(), F.col("w"))).over(whole)
+    joined = joined.withColumn("given", given).withColumn("others", others)
+    rest = F.greatest(F.floor(F.greatest(F.lit(PARTS) - F.col("given"), F.lit(0)) * (F.col("w") / F.col("others"))), F.lit(1)).cast("long")
+    return joined.withColumn("w", F.when(F.col("given") == 0, F.col("w")).otherwise(F.coalesce("target", rest))).drop("target", "given", "others")
+
+
+def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain=domain_of, weight=weight_of, targets: dict[tuple, float] | None = None) -> DataFrame:
+    """docs that the mix takes, with domain, n_tokens and copies (how often). share: the budget over all tokens.
+
+    targets: shares of the parent's budget by (domain,), (domain, lang) or (domain, lang, source), None for a null lang or source.
+    """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -66,6 +99,7 @@ def mixed(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, s
     for d, name in enumerate(LEAF):
         parent = list(LEAF[:d])
         nodes = leaves.groupBy(*parent, name).agg(F.max(f"t{d}").alias("t")).withColumn("w", weight(F.col("t"))).withColumn("capacity", F.col("t") * max_epochs).drop("t")
+        nodes = targeted(nodes, parent, name, targets) if targets else nodes
         nodes = nodes.withColumn("of_parent", F.lit(int(share * total)).cast("long")) if above is None else nodes.join(above.select(*parent, F.col("budget").alias("of_parent")), parent)
         above = filled(nodes, parent, name)
     leaves = leaves.select(*LEAF, "tokens").join(above.select(*LEAF, "budget"), list(LEAF))
