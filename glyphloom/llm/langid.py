@@ -5,10 +5,10 @@ embeddings; their mean goes through a linear softmax. Both are trained by stocha
 of each language (at most max_chars characters), and on short cuts of them. A temperature and the score below which a text is
 rejected are calibrated on a fifth of the sample that training doesn't see: the floor keeps all but MISSED of the texts that
 are told rightly, and is never over CEILING. As mean and softmax input are linear, scoring adds rows of the product of
-embeddings and weights, over whole texts.
+embeddings and weights, over whole texts. Every lang value is learned; where there are many, each has fewer texts in the sample.
 
 Nulls and ties: a null text or one without a letter is 'und' with score 0 and rejected. Rows with null, equal or unknown ids are
-predicted each for itself. Without labelled texts all are 'und'. Other columns are ignored.
+predicted each for itself. Without labelled texts all are 'und'. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, documents, runs, small_batches, text_bytes, tidy
 from .sampling import labelled_texts
 
-FOLDS, FOLD, PER_CLASS, MAX_CHARS, MAX_LANGS = 3, 1, 900, 50_000, 100
+FOLDS, FOLD, PER_CLASS, MAX_CHARS = 3, 1, 900, 50_000
 BITS, WIDTH, EPOCHS, RATE, MISSED, CEILING = 15, 8, 4, 2.0, 0.001, 0.5
 ORDERS = (2, 3, 4)
 #: Bytes of text whose grams are scored at once: each byte takes about 170 bytes meanwhile.
@@ -152,7 +152,7 @@ def trained(texts: list[str], y: np.ndarray, langs: tuple[str, ...], seed: int =
 def fitted(docs: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model | None:
     """Learns from documents outside the fold alone."""
     own = docs.where((bucket_of(F.col("doc_id"), FOLDS) != FOLD) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = [(t, lang) for _, t, lang in labelled_texts(docs, own.select("doc_id", "lang"), "lang", per_class, max_chars, seed=9, max_classes=MAX_LANGS) if any(c.isalpha() for c in t)]
+    rows = [(t, lang) for _, t, lang in labelled_texts(docs, own.select("doc_id", "lang"), "lang", per_class, max_chars, seed=9) if any(c.isalpha() for c in t)]
     langs = tuple(sorted({lang for _, lang in rows}))
     if not langs:
         return None

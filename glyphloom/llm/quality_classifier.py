@@ -79,7 +79,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class
     import zstandard
 
     own = labels.where(bucket_of(F.col("doc_id"), FOLDS) != 0)
-    rows = [(t.encode(), int(y)) for _, t, y in labelled_texts(docs, own, label, per_class, max_chars) if t.strip()]
+    rows = [(t.encode(), int(y)) for _, t, y in labelled_texts(docs, own, label, per_class, max_chars, values=(0, 1)) if t.strip()]
     by = {y: [t for t, z in rows if z == y] for y in (1, 0)}
     if min(map(len, by.values())) < 8:
         return Model(b"", b"", 0.0, 0.0)

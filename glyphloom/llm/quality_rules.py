@@ -181,7 +181,7 @@ def matrix(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Trees | None:
     own = labels.where(bucket_of(F.col("doc_id"), 5) != 0)
-    rows = labelled_texts(docs, own, label, per_class, max_chars, seed=8)
+    rows = labelled_texts(docs, own, label, per_class, max_chars, seed=8, values=(0, 1))
     y = np.array([int(v) for _, _, v in rows])
     if not len(y) or min(y.sum(), len(y) - y.sum()) < 8:
         return None
