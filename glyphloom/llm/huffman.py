@@ -15,7 +15,8 @@ File format
     A block is decoded without any other block; a lost executor costs the blocks it held.
 
 Nulls and ties: a null text is an empty one and has the end id alone; a null doc_id sorts first; rows with equal doc_id stay
-apart, in no fixed order among themselves. An empty table gives an empty folder of blocks. Other columns are ignored.
+apart, in order of a hash of their texts, by which many of them are also dealt out. A very long text is one block of its own. An empty table gives an empty
+folder of blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte"
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.array(used), pa.array(total[used])], ["symbol", "n"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     table, tokens = written(ordered.mapInArrow(tokenise, "part long, doc_id long, at long, n long, ids binary"), "tokens")
     release(spark)
     parts = {r["part"]: r["n"] for r in table.where("at = -1").select("part", "n").collect()}  # a row for each partition
