@@ -31,12 +31,12 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", normalise=lambda text:
     best, order = (F.max, F.desc_nulls_last) if keep == "max" else (F.min, F.asc_nulls_last)
     text: Column = F.coalesce(normalise(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("t"))
-    rows = rows.withColumn("h", F.xxhash64("t"))
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("row", F.monotonically_increasing_id())  # of a scan, the same each time; rows of one id are told apart by it
     counts, _ = written(rows.groupBy("h").agg(F.count("*").alias("n")), "copies")
     total = counts.agg(F.sum("n")).first()[0] or 0
     per = max(1, total // n // HOT)
     hot = counts.where(F.col("n") > per).select("h", F.ceil(F.col("n") / per).cast("long").alias("salts"))  # under HOT * n rows
-    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(7)), "salts"))).withColumn("prefix", F.substring(F.encode("t", "utf-8"), 1, PREFIX))
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "row"), "salts"))).withColumn("prefix", F.substring(F.encode("t", "utf-8"), 1, PREFIX))
     dealt = rows.repartitionByRange(n, "prefix", "h", "salt")
     key = ["prefix", "h", "salt"]
     by_text = Window.partitionBy(*key).orderBy("t", order("doc_id"))
@@ -57,10 +57,11 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", normalise=lambda text:
     ids = F.broadcast(parts.select(F.col("h").alias("h1"), F.col("keep_id").alias("id1")).distinct())
     leader = docs.select(F.col("doc_id").cast("long").alias("id2"), text.alias("t")).withColumn("h2", F.xxhash64("t")).join(ids, (F.col("h2") == F.col("h1")) & F.col("id2").eqNullSafe(F.col("id1"))).select("h2", "id2", "t").distinct()
     same = Window.partitionBy("h", "t")
-    groups = parts.join(leader, (F.col("h") == F.col("h2")) & F.col("keep_id").eqNullSafe(F.col("id2"))).select("h", "salt", "run", best("keep_id").over(same).alias("all_id"), F.sum("group_size").over(same).alias("all_size"))
-    groups, _ = written(groups.select("h", "salt", "run", "all_id", "all_size"), "groups")
+    groups = parts.join(leader, (F.col("h") == F.col("h2")) & F.col("keep_id").eqNullSafe(F.col("id2"))).select("h", "salt", "run", "t", "keep_id", best("keep_id").over(same).alias("all_id"), F.sum("group_size").over(same).alias("all_size"))
+    groups = groups.withColumn("at", F.min(F.when(F.col("keep_id").eqNullSafe(F.col("all_id")), F.col("salt"))).over(same))  # rows of the id that stays may have more than one salt
+    groups, _ = written(groups.select("h", "salt", "run", "all_id", "all_size", "at"), "groups")
     joined = slim.where("hot").drop("keep_id", "group_size").join(F.broadcast(groups), ["h", "salt", "run"]).withColumnsRenamed({"all_id": "keep_id", "all_size": "group_size"})
-    return cold.unionByName(joined.withColumn("kept", kept).select(out))
+    return cold.unionByName(joined.withColumn("kept", kept & (F.col("salt") == F.col("at"))).select(out))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,3 +110,13 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError, match="share"):
         common.shared_dir(Session)
+
+
+def test_copies_under_one_id_are_dealt_out(spark):
+    from glyphloom.llm import exact_dedup
+
+    rows = spark.range(5000).select(F.when(F.col("id") < 4000, 7).when(F.col("id") < 4100, None).otherwise(F.col("id")).cast("long").alias("doc_id"), F.when(F.col("id") < 4200, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    for keep, who in (("max", 4199), ("min", 7)):
+        got = exact_dedup.exact_duplicates(rows.repartition(3), keep)
+        r = got.where("group_size > 1").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"), F.min("group_size").alias("g"), F.max("keep_id").alias("i"), F.min("keep_id").alias("j")).first()
+        assert (r.n, r.k, r.g, r.i, r.j) == (4200, 1, 4200, who, who) and got.count() == 5000
