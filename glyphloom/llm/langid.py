@@ -7,6 +7,9 @@ rejected are calibrated on a fifth of the sample that training doesn't see: the
 are told rightly, and is never over CEILING. As mean and softmax input are linear, scoring adds rows of the product of
 embeddings and weights, over whole texts. Every lang value is learned; where there are many, each has fewer texts in the sample.
 
+A text of over twice SCORED bytes is cut at blanks, and the sums of its pieces are added: its memory is that of a piece, and the grams
+across a cut, a handful in 100,000, don't count.
+
 Nulls and ties: a null text or one without a letter is 'und' with score 0 and rejected. Rows with null, equal or unknown ids are
 predicted each for itself. Without labelled texts all are 'und'. An empty table gives no rows. Other columns are ignored.
 """
@@ -83,13 +86,27 @@ class Model:
     bias: np.ndarray
     floor: float
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over a text's grams, and their number. A text beyond SCORED is cut at blanks into pieces, whose sums add up."""
+        if len(data) > 2 * SCORED and len(offsets) == 2:
+            total, n, at = np.zeros((1, len(self.langs))), np.zeros(1, np.int64), 0
+            while at < len(data):
+                end = min(len(data), at + SCORED)
+                blank = np.flatnonzero(data[end - min(SCORED // 2, end - at) : end] == 32) if end < len(data) else ()
+                end = end - min(SCORED // 2, end - at) + int(blank[-1]) + 1 if len(blank) else end
+                part, m = self.sums(data[at:end], np.array([0, end - at]))
+                total, n, at = total + part, n + m, end
+            return total, n
         g, at = grams(data, offsets)
         n = np.diff(at)
         sums = np.zeros((len(n), len(self.langs)))
         if len(g):
             has = np.flatnonzero(n)
             sums[has] = np.add.reduceat(self.table[g], at[:-1][has], axis=0, dtype=np.float64)
+        return sums, n
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        sums, n = self.sums(data, offsets)
         z = sums / np.maximum(1, n)[:, None] + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)

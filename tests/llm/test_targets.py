@@ -120,3 +120,25 @@ def test_copies_under_one_id_are_dealt_out(spark):
         got = exact_dedup.exact_duplicates(rows.repartition(3), keep)
         r = got.where("group_size > 1").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("k"), F.min("group_size").alias("g"), F.max("keep_id").alias("i"), F.min("keep_id").alias("j")).first()
         assert (r.n, r.k, r.g, r.i, r.j) == (4200, 1, 4200, who, who) and got.count() == 5000
+
+
+def test_language_of_a_long_text_in_pieces(spark, monkeypatch):
+    from glyphloom.llm import langid
+
+    r = np.random.default_rng(6)
+    model = langid.Model(("a", "b"), r.normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.zeros(2), 0.0)
+    text = " ".join("".join(r.choice(list("abcdefgh"), r.integers(1, 9))) for _ in range(20_000)).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = model.scores(data, offsets)
+    monkeypatch.setattr(langid, "SCORED", 4096)
+    pieces = model.scores(data, offsets)
+    assert np.abs(whole - pieces).max() < 0.01
+    solid = np.frombuffer(b"x" * 50_000, np.uint8)
+    assert np.isfinite(model.scores(solid, np.array([0, 50_000]))).all()
+
+
+def test_sums_of_texts_with_empty_ones():
+    from glyphloom.llm import quality_rules
+
+    data = np.frombuffer(b"aab#a#", np.uint8)
+    assert quality_rules._sums(data == 97, np.array([0, 0, 2, 2, 5, 6, 6])).tolist() == [0, 2, 0, 1, 0, 0] and quality_rules._sums(data[:0] == 97, np.array([0, 0])).tolist() == [0]
