@@ -155,7 +155,9 @@ class SpanHash:
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         self._grown(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.t[data] * self.powers[: len(data)], out=sums[1:])
+        np.take(self.t, data, out=sums[1:])
+        sums[1:] *= self.powers[: len(data)]
+        np.cumsum(sums[1:], out=sums[1:])
         h = (sums[ends] - sums[starts]) * self.inverses[starts]
         return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

@@ -43,7 +43,10 @@ HASH = SpanHash(seed=8)
 
 
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
+    out, has = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(np.diff(offsets))
+    if len(has):
+        out[has] = np.add.reduceat(flags, offsets[:-1][has], dtype=np.int64)
+    return out
 
 
 def _repeated(texts: np.ndarray, keys: np.ndarray, keep: str | bool) -> np.ndarray:
