@@ -615,3 +615,18 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir))
+
+
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' '))
+                                                  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, '|')) AS sid FROM s),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v, y.sid AS sid, x.sid = y.sid AS same FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * k >= {PERCENT} * (x.n + y.n - k)),
+r AS (SELECT doc_id AS u, doc_id AS root FROM n UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.u WHERE r.root < l.v),
+c AS (SELECT u, min(root) AS component_id FROM r GROUP BY u),
+k AS (SELECT u, count(DISTINCT sid) FILTER (WHERE NOT same) AS n_links FROM l GROUP BY u)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0) AS n_links FROM n JOIN c ON c.u = n.doc_id LEFT JOIN k ON k.u = n.doc_id
+"""
