@@ -11,7 +11,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from glyphloom.plans import registry  # noqa: E402
+from glyphloom.plans import extended, registry  # noqa: E402, F401
 
 HEADLINE = ("label_distance", "spatial_weights", "neighbourhood_mean", "rebinned", "cell_attributes", "gene_attributes", "normalised_counts", "pearson_residuals", "variable_features", "mutual_neighbours")
 

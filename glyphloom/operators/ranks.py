@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 #: Values that are sorted on the driver once a quantile has been narrowed down to them.
 SMALL = 200_000
 
@@ -50,18 +52,25 @@ def average_ranks(table: DataFrame, value: str, name: str = "rank") -> DataFrame
     """table with the average rank of value, ties alike. Ranges of distinct values are counted first, so no task sorts the whole table:
     ranks are running sums over distinct values within ranges, after the counts of the ranges below."""
     spark = table.sparkSession
-    distinct = table.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("times"))
-    placed = distinct.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    from pyspark.sql import Window
-
-    from .shared import kept
-
-    placed = kept(placed, "ranges")
+    distinct = table.groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("times"))
+    placed = kept(distinct.repartitionByRange("__v").withColumn("part", F.spark_partition_id()), "ranges")
     total, before = 0, []
     for r in placed.groupBy("part").agg(F.sum("times").alias("n")).orderBy("part").collect():  # a row for each partition
         before.append((r["part"], total))
         total += r["n"]
     starts = spark.createDataFrame(before, "part int, before long")
-    running = F.sum("times").over(Window.partitionBy("part").orderBy("v"))
-    ranks = placed.join(F.broadcast(starts), "part").select("v", (F.col("before") + running - (F.col("times") - 1) / 2).alias(name))
-    return table.join(ranks, F.col(value) == F.col("v")).drop("v")
+    running = F.sum("times").over(Window.partitionBy("part").orderBy("__v"))
+    ranks = placed.join(F.broadcast(starts), "part").select("__v", (F.col("before") + running - (F.col("times") - 1) / 2).alias(name))
+    return table.join(ranks, F.col(value) == F.col("__v")).drop("__v")
+
+
+def numbered(table: DataFrame, by: str, name: str = "ord") -> DataFrame:
+    """table with its rows' places, from 0, in order of a column without ties. Ranges are counted first; no task sorts the whole table."""
+    placed = kept(table.repartitionByRange(by).withColumn("__part", F.spark_partition_id()), "ranges")
+    total, before = 0, []
+    for r in placed.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():  # a row for each partition
+        before.append((r["__part"], total))
+        total += r["n"]
+    starts = table.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return placed.join(F.broadcast(starts), "__part").withColumn(name, place).drop("__part", "__before")

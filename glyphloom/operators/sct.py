@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import countmodel as cm
+from ..functions.rsample import RSample
 from . import counts as ct
-from .ranks import quantiles
+from .ranks import numbered, quantiles
 
 SEED = 1448145
 #: The default number of sampled cells, and the one that flavour v2 puts in its place.
@@ -50,6 +51,7 @@ class Settings:
     regularise: bool = True
     clip: float | None = None
     seed: int = SEED
+    draws: str = "hash"  # or "r": R's sample(), over cells and genes in order of their names
 
 
 def with_flavour(s: Settings) -> Settings:
@@ -129,18 +131,37 @@ def design(cells: DataFrame, settings: Settings, extra: Sequence[str] = ()) -> t
 # The sample
 
 
-def sampled_cells(cells: DataFrame, n: int | None, seed: int) -> list:
-    """n cells in order of a hash with the seed: the same for the same cells, whatever their order."""
+def generator(s: Settings) -> RSample | None:
+    """The stream of draws that cells and then genes are taken from; none for draws by hashes, which need no order."""
+    if s.draws not in ("hash", "r"):
+        raise ValueError(f"unknown draws {s.draws}")
+    return RSample(s.seed) if s.draws == "r" else None
+
+
+def sampled_cells(cells: DataFrame, n: int | None, seed: int, stream: RSample | None = None) -> list:
+    """n cells in order of a hash with the seed: the same for the same cells, whatever their order. With a stream, R's draws from the cells in order."""
+    n = n or N_CELLS
+    if stream is not None:
+        total = cells.count()
+        if n >= total:
+            return [r["cell"] for r in cells.select("cell").orderBy("cell").collect()]  # n at most
+        drawn = stream.places(total, n)
+        order = {p: k for k, p in enumerate(drawn)}
+        wanted = cells.sparkSession.createDataFrame([(p,) for p in drawn], "ord long")
+        rows = numbered(cells.select("cell"), "cell").join(F.broadcast(wanted), "ord").collect()
+        return [r["cell"] for r in sorted(rows, key=lambda r: order[r["ord"]])]
     rows = cells.select("cell", F.xxhash64(F.col("cell").cast("string"), F.lit(seed)).alias("at"))
-    return [r["cell"] for r in rows.orderBy("at", "cell").limit(n or N_CELLS).collect()]
+    return [r["cell"] for r in rows.orderBy("at", "cell").limit(n).collect()]
 
 
-def sampled_genes(log_gmean: pd.Series, n: int | None, seed: int) -> list[str]:
+def sampled_genes(log_gmean: pd.Series, n: int | None, seed: int, stream: RSample | None = None) -> list[str]:
     """n genes without replacement, each with a weight of one over the density of its mean."""
     if not n or n >= len(log_gmean):
         return list(log_gmean.index)
     x = log_gmean.to_numpy(float)
     weight = 1 / (cm.density(x, x) + cm.EPS)
+    if stream is not None:
+        return [log_gmean.index[i] for i in stream.weighted(weight, n)]
     key = -np.log(np.random.default_rng(seed).random(len(x))) / weight  # the smallest keys are such a sample
     return list(log_gmean.index[np.argsort(key, kind="stable")[:n]])
 
@@ -374,16 +395,17 @@ def vst(counts: DataFrame, cells: DataFrame | None = None, settings: Settings |
     placed = covariates.select("cell", value.alias("design"), F.col("log_umi").cast("double").alias("log_umi"), *([F.col(s.batch).cast("string").alias("batch")] if s.batch else []), *(F.col(c).cast("double").alias(f"nonreg_{c}") for c in s.nonreg))
     out = None
     sample: list = []
+    stream = generator(s)
     if model is not None:
         model = with_plain_names(model).dropna(how="all")
         genes = genes[genes.index.isin(model.index)]
         model = model.loc[genes.index]
     else:
-        sample = [r["cell"] for r in placed.where(F.col("cell").isin(list(cells_step1))).select("cell").collect()] if cells_step1 is not None else sampled_cells(placed, s.n_cells, s.seed)
+        sample = [r["cell"] for r in placed.where(F.col("cell").isin(list(cells_step1))).select("cell").collect()] if cells_step1 is not None else sampled_cells(placed, s.n_cells, s.seed, stream)
         if not sample:
             raise ValueError("no sampled cell is among the cells")
         if step1 is None:
-            chosen = _step1_genes(own, genes, sample, s, genes_step1)
+            chosen = _step1_genes(own, genes, sample, s, genes_step1, stream)
             rows = placed.join(F.broadcast(_frame_of(counts, sample)), "cell", "left_semi").select("cell", "design").toPandas()
             rows = rows.set_index("cell").loc[sample]
             step1 = fitted(own, chosen, sample, np.array(rows["design"].tolist()), terms, s.method)
@@ -411,7 +433,7 @@ def _frame_of(counts: DataFrame, cells: Sequence) -> DataFrame:
     return counts.sparkSession.createDataFrame([(c,) for c in cells], T.StructType([T.StructField("cell", counts.schema["cell"].dataType)]))
 
 
-def _step1_genes(counts: DataFrame, genes: pd.DataFrame, sample: Sequence, s: Settings, given: Sequence[str] | None) -> list[str]:
+def _step1_genes(counts: DataFrame, genes: pd.DataFrame, sample: Sequence, s: Settings, given: Sequence[str] | None, stream: RSample | None = None) -> list[str]:
     if given is not None:
         chosen = [g for g in dict.fromkeys(given) if g in genes.index]
         if not chosen:
@@ -421,7 +443,7 @@ def _step1_genes(counts: DataFrame, genes: pd.DataFrame, sample: Sequence, s: Se
     keep = genes.index.isin([r["gene"] for r in seen.select("gene").collect()])
     if s.exclude_poisson:
         keep = keep & (genes["variance"] - genes["amean"] > 0).to_numpy()
-    return sampled_genes(genes.loc[keep, "log_gmean"], s.n_genes, s.seed)
+    return sampled_genes(genes.loc[keep, "log_gmean"], s.n_genes, s.seed, stream)
 
 
 def _batch_means(counts: DataFrame, cells: DataFrame, genes: pd.DataFrame, step1: pd.DataFrame, sample: Sequence, s: Settings) -> dict[str, tuple[pd.Series, pd.Series]]:
