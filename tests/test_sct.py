@@ -168,6 +168,8 @@ def test_given_samples_and_parameters(spark, long):
     assert np.allclose(c.model, a.model[c.model.columns])
     again = sct.sctransform(long, settings=s, reference=sct.pack(a, ["g01", "g02"]))
     assert again.variable == ["g01", "g02"] and again.how == "reference.model" and np.allclose(again.fit.model[a.model.columns], a.model)
+    drawn = sct.vst(long, settings=sct.Settings(min_cells=3, n_cells=30, n_genes=20, draws="r", seed=42))
+    assert len(drawn.sample) == 30 and len(drawn.step1) <= 20 and drawn.sample == sct.sampled_cells(drawn.cells, 30, 42, sct.generator(drawn.settings))
     with pytest.raises(ValueError):
         sct.vst(long, settings=s, step1=a.step1, model=a.model)
     with pytest.raises(ValueError, match="flavour"):
