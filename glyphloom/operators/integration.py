@@ -316,7 +316,7 @@ def integrate_counts(counts: DataFrame, cells: DataFrame, batch: str, n_features
     from . import sct
 
     sizes = cells.groupBy(batch).count().agg(F.max("count")).first()[0]
-    clip = sct.seurat_clip(sizes)
+    clip = sct.residual_clip(sizes)
     assays, _, _ = sct.per_batch(counts, cells, batch, settings or sct.Settings(flavour="v2"), n_top, clip=clip)
     universe = sct.shared_genes(counts.sparkSession.createDataFrame([(b, g) for b, a in assays.items() for g in a.fit.model.index], "batch string, gene string"), len(assays))
     chosen = selected_features(sct.ranked_features(assays), n_features, features, universe)

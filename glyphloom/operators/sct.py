@@ -603,7 +603,7 @@ def sctransform(counts: DataFrame, cells: DataFrame | None = None, settings: Set
     return Assay(fit, corrected_, corrected_.withColumn("value", F.log1p("value")), scaled(source, centre, scale, low, high), variable, attributes, how)
 
 
-def seurat_clip(n_cells: int) -> tuple[float, float]:
+def residual_clip(n_cells: int) -> tuple[float, float]:
     limit = math.sqrt(max(n_cells, 1) / 30)
     return -limit, limit
 
