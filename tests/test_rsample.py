@@ -1,5 +1,7 @@
 """R's draws: published ones, and the samples of a model that uses them."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,13 @@ def test_numbers_ranks_and_quantiles(spark, monkeypatch):
     assert np.allclose(quantiles(df, "v", [0.2, 0.5]), np.quantile(v, [0.2, 0.5])) and quantiles(df.where("v < 0"), "v", [0.5]) == [None]
 
 
+def test_ranks_of_values_that_differ_each_time(spark):
+    """As sums do, whose parts arrive in another order."""
+    noisy = F.udf(lambda x: x * (1 + 1e-15 * random.SystemRandom().randrange(9)), "double").asNondeterministic()
+    df = spark.range(1, 41).repartition(3).select("id", noisy(F.col("id") / 7.0).alias("v"))
+    assert {x.id: x.rank for x in average_ranks(df, "v").collect()} == {i: i for i in range(1, 41)}
+
+
 def test_a_model_with_these_draws(spark):
     cells = spark.range(60).select(F.format_string("c%02d", "id").alias("cell"))
     assert sct.sampled_cells(cells.repartition(4), 5, 42, RSample(42)) == [f"c{p:02d}" for p in RSample(42).places(60, 5)]
