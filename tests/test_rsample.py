@@ -1,6 +1,8 @@
 """R's draws: published ones, and the samples of a model that uses them."""
 
+import math
 import random
+import signal
 
 import numpy as np
 import pytest
@@ -46,6 +48,31 @@ def test_numbers_ranks_and_quantiles(spark, monkeypatch):
     assert np.allclose(quantiles(df, "v", [0.2, 0.5]), np.quantile(v, [0.2, 0.5])) and quantiles(df.where("v < 0"), "v", [0.5]) == [None]
 
 
+def test_quantiles_between_two_ties(spark, monkeypatch):
+    """The median lies between two values that half of the rows have each; nothing narrows them down."""
+    from glyphloom.operators import ranks
+
+    def late(*_):
+        raise TimeoutError
+
+    monkeypatch.setattr(ranks, "SMALL", 50)
+    df = spark.range(400).select(F.when(F.col("id") % 2 == 0, 1.0).otherwise(2.0).alias("v"))
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(180)
+    try:
+        assert quantiles(df, "v", [0.0, 0.25, 0.5, 1.0]) == [1.0, 1.0, 1.5, 2.0]
+        r = np.random.default_rng(3)
+        for v in (np.append(np.full(300, -1e300), np.full(300, 1e-300)), np.repeat([0.0, 1.0, np.inf], 100), np.round(r.normal(size=500), 1), r.pareto(0.1, 501)):
+            rows = spark.createDataFrame([(float(x),) for x in v], "v double")
+            shares = [0.0, 1 / 3, 0.5, 0.99]
+            order, at = np.sort(v), [(len(v) - 1) * q for q in shares]
+            want = [order[math.floor(a)] if order[math.floor(a)] == order[math.ceil(a)] else order[math.floor(a)] + (order[math.ceil(a)] - order[math.floor(a)]) * (a - math.floor(a)) for a in at]
+            assert quantiles(rows, "v", shares) == want
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_ranks_of_values_that_differ_each_time(spark):
     """As sums do, whose parts arrive in another order."""
     noisy = F.udf(lambda x: x * (1 + 1e-15 * random.SystemRandom().randrange(9)), "double").asNondeterministic()
