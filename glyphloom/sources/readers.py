@@ -373,10 +373,17 @@ def bins_of_text(spark: SparkSession, path: str, size: int, sample: str | None =
     return {"counts": counts, "cells": cells, "metadata": metadata, "scalefactors": factors, "sample": sample}
 
 
+#: Bits of a place within a block: entries and ranges of genes meet block by block.
+BLOCK = 6
+
+
 def named_entries(expression: DataFrame, genes: DataFrame) -> DataFrame:
-    """(x, y, gene, value) of entries (ord, x, y, count) in order of genes (gene, offset, count): a join of places with ranges. Genes are broadcast, a row for each."""
-    g = F.broadcast(genes.select("gene", F.col("offset").cast("long").alias("start"), (F.col("offset") + F.col("count")).cast("long").alias("stop")))
-    return expression.join(g, (F.col("ord") >= F.col("start")) & (F.col("ord") < F.col("stop"))).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "gene", F.col("count").cast("double").alias("value"))
+    """(x, y, gene, value) of entries (ord, x, y, count) in order of genes (gene, offset, count): a join of places with ranges, by the blocks of places that a range touches."""
+    g = genes.select("gene", F.col("offset").cast("long").alias("start"), (F.col("offset") + F.col("count")).cast("long").alias("stop")).where("start < stop")
+    g = g.withColumn("block", F.explode(F.sequence(F.shiftright("start", BLOCK), F.shiftright(F.col("stop") - 1, BLOCK))))
+    rows = expression.withColumn("__block", F.shiftright(F.col("ord").cast("long"), BLOCK))
+    rows = rows.join(g, (F.col("__block") == F.col("block")) & (F.col("ord") >= F.col("start")) & (F.col("ord") < F.col("stop")))
+    return rows.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "gene", F.col("count").cast("double").alias("value"))
 
 
 def bins_of_chip(spark: SparkSession, path: str, size: int, sample: str | None = None, by_name: bool = True, image: str | None = None) -> dict:

@@ -126,6 +126,17 @@ def test_chip_bins(spark, tmp_path):
         readers.gene_expression_text(spark, str(tmp_path / "bad.gem"))
 
 
+def test_named_entries_by_equal_keys(spark):
+    """Ranges of any length, empty, touching or crossing, against loops; entries never meet every range."""
+    ranges = [("a", 0, 70), ("b", 70, 0), ("c", 70, 1), ("d", 71, 500), ("e", 100, 30), ("f", 571, 4), ("g", 63, 2), ("h", 3_000_000_000, 3), ("i", 5, -3)]
+    places = [*range(600), 2_999_999_999, 3_000_000_000, 3_000_000_002, 3_000_000_003]
+    genes = spark.createDataFrame(ranges, "gene string, offset long, count long")
+    entries = spark.createDataFrame([(p, p % 9, p % 5, p % 3) for p in places], "ord long, x int, y int, count int")
+    got = readers.named_entries(entries, genes)
+    assert sorted(map(tuple, got.collect())) == sorted((p % 9, p % 5, g, float(p % 3)) for p in places for g, start, n in ranges if start <= p < start + n)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chip_cells(spark, tmp_path):
     at = str(tmp_path / "s.cellbin.gef")
     (tmp_path / "s.cellbin.gef").write_bytes(b"")
