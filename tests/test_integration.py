@@ -168,6 +168,39 @@ def test_communities_of_cliques():
     assert cl.modularity(60, src, dst, np.ones(len(src)), label) > 0.75
 
 
+def test_communities_of_edges_on_executors(spark, monkeypatch):
+    """The same as of arrays on the driver, with weights whose sums are exact."""
+    r = np.random.default_rng(11)
+    src, dst = r.integers(0, 300, 1500), r.integers(0, 300, 1500)
+    dst = np.where(r.random(1500) < 0.8, src // 30 * 30 + dst % 30, dst)
+    w = r.integers(1, 9, 1500) / 8
+    want = cl.communities(300, src, dst, w)
+    monkeypatch.setattr(cl, "PIECE", 64, raising=False)
+    rows = spark.createDataFrame([(int(a), int(b), float(x) / 2) for a, b, x in zip([*src, *dst], [*dst, *src], [*w, *w], strict=True)], "a long, b long, w double")
+    for most in (0, 1000):
+        monkeypatch.setattr(cl, "DRIVER", most, raising=False)
+        edges = cl.edges_of(300, rows)
+        assert isinstance(edges, cl.SpreadEdges) and edges.table.count() == 5
+        assert (cl.communities_of(edges) == want).all()
+
+
+def test_the_driver_gets_no_graph(spark, monkeypatch):
+    """Arrays over cells, but no table of their edges or of their distances to medoids."""
+    seen = []
+    for name in ("toArrow", "toPandas"):
+        whole = getattr(type(spark.range(0)), name)
+        monkeypatch.setattr(type(spark.range(0)), name, lambda self, whole=whole: (seen.append(len(out := whole(self))), out)[1])
+    monkeypatch.setattr(cl, "DRIVER", 100, raising=False)
+    r = np.random.default_rng(12)
+    own = np.repeat(np.arange(3), 60)
+    df = frame(spark, np.eye(3)[own] * 20 + r.normal(size=(180, 3)))
+    got = {x.cell: x.cluster for x in cl.clustered(df, 8, 0.3).collect()}
+    assert max(seen) <= 180 and all(len({got[f"c{i:03d}"] for i in np.flatnonzero(own == k)}) == 1 for k in range(3))
+    monkeypatch.setattr(cl, "DISTANCES", 7, raising=False)
+    labels = cl.clustered(df, 8, 0.3, sketch=90)
+    assert max(seen) <= 180 and labels.count() == 180 and len({x.cluster for x in labels.collect()}) >= 3
+
+
 def test_clusters_and_medoids(spark):
     r = np.random.default_rng(7)
     own = np.repeat(np.arange(3), 30)
