@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import average_ranks, quantiles
+from .shared import kept
 
 
 def checked_left_join(obs: DataFrame, positions: DataFrame, key: str) -> DataFrame:
@@ -108,7 +109,7 @@ def gene_correlations(a: DataFrame, b: DataFrame, max_genes: int = 500) -> DataF
 
 def gene_summary_comparison(a: DataFrame, b: DataFrame, column: str = "residual_variance") -> DataFrame:
     """compared() of a column of two gene tables, with Spearman's correlation."""
-    x, y = a.select("gene", F.col(column).alias("value")), b.select("gene", F.col(column).alias("value"))
+    x, y = (kept(t.select("gene", F.col(column).alias("value")), "summary") for t in (a, b))  # else each figure computes them anew
     pairs = x.withColumnRenamed("value", "va").join(y.withColumnRenamed("value", "vb"), "gene")
     return compared(x, y, "gene").withColumn("spearman", F.lit(correlation(pairs, ranks=True)).cast("double"))
 
