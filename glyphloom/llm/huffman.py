@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, new_path, partitions, release, removed, text_bytes, written
-from .tokens import encoder, vocabulary
+from .common import documents, new_path, partitions, release, removed, runs, small_batches, text_bytes, tidy, written
+from .tokens import PASS, Encoder, encoder, vocabulary
 
 #: Longest code in bits. Decoding tables have 2**LIMIT entries; 2**LIMIT must be at least the vocabulary's size.
 LIMIT = 18
@@ -120,31 +120,50 @@ class Decoder:
         return out.T.ravel()[:n]
 
 
-def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int = 0, limit: int = LIMIT) -> None:
-    """Writes the ids of every whole text, each document ended by end_id, in ascending doc_id order."""
-    spark = docs.sparkSession
+TOKENS = "part long, doc_id long, at long, n long, ids binary, counts binary"
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, part, at = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
-        size = max(e.tokenizer.get_vocab_size(), end_id + 1)
-        counts = np.zeros(size, np.int64)
-        for b in batches:
-            data, offsets = text_bytes(b.column("text"))
-            ids, cut = e.encode(data, offsets)
+
+def tokenised(batches: Iterator[pa.RecordBatch], e: Encoder, part: int, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Ids of the documents without their end ids, PASS bytes of text (or one text) at a time; in the end a row with at = -1 has all ids' number and counts."""
+    at, size = 0, max(e.tokenizer.get_vocab_size(), end_id + 1)
+    counts, kind = np.zeros(size, np.int64), id_type(size)
+    for b in batches:
+        data, offsets = text_bytes(b.column("text"))
+        for first, last in runs(offsets, PASS):
+            ids, cut = e.encode(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             n = np.diff(cut) + 1
             counts += np.bincount(ids, minlength=size)
             counts[end_id] += len(n)
-            narrow = ids.astype("<u4")
-            blobs = [narrow[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            raw, width = ids.astype(kind).tobytes(), kind.itemsize
+            blobs = [raw[width * i : width * j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
-            yield pa.record_batch([pa.array(np.full(len(n), part)), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(blobs, pa.binary())], ["part", "doc_id", "at", "n", "ids"])
-        yield pa.record_batch([pa.array([part]), pa.array([None], pa.int64()), pa.array([-1]), pa.array([at]), pa.array([counts.tobytes()], pa.binary())], ["part", "doc_id", "at", "n", "ids"])
+            yield pa.record_batch([pa.array(np.full(len(n), part)), b.column("doc_id")[first:last], pa.array(starts), pa.array(n), pa.array(blobs, pa.binary()), pa.nulls(len(n), pa.binary())], ["part", "doc_id", "at", "n", "ids", "counts"])
+    yield pa.record_batch([pa.array([part]), pa.array([None], pa.int64()), pa.array([-1]), pa.array([at]), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["part", "doc_id", "at", "n", "ids", "counts"])
+
+
+def id_type(size: int) -> np.dtype:
+    """The narrowest little-endian type for ids below size."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def ids_in(blob: bytes, n: int) -> np.ndarray:
+    """The n ids that a blob holds, whichever type they were given."""
+    return np.frombuffer(blob, f"<u{len(blob) // n}" if n else "<u4")
+
+
+def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id: int = 0, limit: int = LIMIT) -> None:
+    """Writes the ids of every whole text, each document ended by end_id, in ascending doc_id order."""
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from tokenised(batches, encoder(tokenizer, kind), TaskContext.get().partitionId(), end_id)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            for blob in b.column("ids").to_pylist():
+            for blob in b.column("counts").to_pylist():
                 counts = np.frombuffer(blob, np.int64)
                 total = counts.copy() if total is None else total + counts
         if total is not None:
@@ -152,13 +171,13 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte"
             yield pa.record_batch([pa.array(used), pa.array(total[used])], ["symbol", "n"])
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    table, tokens = written(ordered.mapInArrow(tokenise, "part long, doc_id long, at long, n long, ids binary"), "tokens")
+    table, tokens = written(ordered.mapInArrow(tidy(tokenise), TOKENS), "tokens")
     release(spark)
     parts = {r["part"]: r["n"] for r in table.where("at = -1").select("part", "n").collect()}  # a row for each partition
     starts, at = {}, 0
     for k in sorted(parts):
         starts[k], at = at, at + parts[k]
-    counts = table.where("at = -1").select("ids").mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    counts = table.where("at = -1").select("counts").mapInArrow(tidy(counted), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     size = max([r["symbol"] for r in counts], default=0) + 1
     total = np.zeros(size, np.int64)
     for r in counts:
@@ -172,7 +191,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte"
 
         def block() -> pa.RecordBatch:
             end = np.array([end_id], np.uint32)
-            ids = np.concatenate([x for _, blob, _ in held for x in (np.frombuffer(blob, "<u4"), end)])
+            ids = np.concatenate([x for _, blob, n in held for x in (ids_in(blob, n - 1), end)])
             bits, lanes = pack_bits(ids, lengths, codes)
             return pa.record_batch([pa.array([part]), pa.array([start]), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[n for _, _, n in held]], pa.list_(pa.int32())), pa.array([lanes], pa.binary()), pa.array([bits], pa.binary())], ["part", "start", "doc_ids", "doc_tokens", "lanes", "bits"])
 
@@ -189,7 +208,7 @@ def encode_corpus(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte"
         if held:
             yield block()
 
-    table.where("at >= 0").mapInArrow(blocks, "part long, start long, doc_ids array<long>, doc_tokens array<int>, lanes binary, bits binary").write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
+    table.where("at >= 0").mapInArrow(tidy(blocks), "part long, start long, doc_ids array<long>, doc_tokens array<int>, lanes binary, bits binary").write.partitionBy("part").option("compression", "uncompressed").parquet(f"{path}/blocks")
     removed(spark, tokens)
 
 
@@ -198,6 +217,7 @@ BLOCKS = "part long, start long, doc_ids array<long>, doc_tokens array<int>, lan
 
 def decode_corpus(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids (little-endian uint32, with the end id)."""
+    small_batches(spark)
     book = spark.read.schema("symbol int, length int").parquet(f"{path}/codebook").collect()  # at most the vocabulary
     lengths = np.zeros(max([r["symbol"] for r in book], default=0) + 1, np.uint8)
     for r in book:
@@ -212,7 +232,7 @@ def decode_corpus(spark: SparkSession, path: str) -> DataFrame:
                 blobs = [raw[4 * i : 4 * j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(start + cut[:-1]), pa.array(np.array(tokens, np.int64)), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,45 @@ def test_ids_belong_to_their_documents(spark, tmp_path):
     assert order == sorted(order)
 
 
+def test_ids_leave_a_worker_in_small_batches(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    limit, taken = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    spark.conf.unset(limit)
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    whole = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: taken.append(f) or whole(self, f, *a, **b))
+    huffman.encode_corpus(docs, f"file://{tmp_path}/b", vocabulary("byte_bpe_50k.json"))
+    assert int(spark.conf.get(limit)) <= 4 << 20
+    monkeypatch.setattr(huffman, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 3)}))
+    texts = [f"text {i} of some words, and more of them " * 100 for i in range(2000)]
+    batch = pa.record_batch([pa.array(range(2000), pa.int64()), pa.array([*texts[:-1], None])], ["doc_id", "text"])
+    out = list(taken[0](iter([batch])))
+    assert batch.nbytes > 8e6 and max(b.nbytes for b in out) < 2e6
+    rows = [r for b in out for r in b.select(["part", "doc_id", "at", "n"]).to_pylist()]
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    n = [len(e.ids) + 1 for e in tokenizer.encode_batch([*texts[:-1], ""], add_special_tokens=False)]
+    assert [r["n"] for r in rows[:-1]] == n and [r["at"] for r in rows[:-1]] == [0, *np.cumsum(n)[:-1].tolist()]
+    assert [r["doc_id"] for r in rows[:-1]] == list(range(2000)) and rows[-1] == {"part": 3, "doc_id": None, "at": -1, "n": sum(n)}
+
+
+def test_ids_of_large_vocabularies_keep_their_bytes():
+    import pyarrow as pa
+
+    for top in (65_535, 65_536, 200_000):
+        class Fake:
+            tokenizer = type("T", (), {"get_vocab_size": staticmethod(lambda top=top: top + 1)})
+
+            def encode(self, data, offsets, top=top):
+                return np.array([top, 0, 7], np.uint32), np.array([0, 3, 3])
+
+        ids, total = huffman.tokenised(iter([pa.record_batch([pa.array([5, 6]), pa.array(["abc", None])], ["doc_id", "text"])]), Fake(), 0, 0)
+        assert [huffman.ids_in(x, n - 1).tolist() for x, n in zip(ids["ids"].to_pylist(), ids["n"].to_pylist(), strict=True)] == [[top, 0, 7], []]
+        counts = np.frombuffer(total["counts"].to_pylist()[0], np.int64)
+        assert counts[top] == 1 and counts[0] == 3 and counts.sum() == 5 == total["n"].to_pylist()[0]
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     class Context:
         master = "spark://host:7077"
