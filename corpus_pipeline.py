@@ -12,12 +12,13 @@ go together, and are packed each for itself. Very long texts are rows like any o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import langid, line_dedup, mixing, ngram_join, packing
-from glyphloom.llm.common import BROADCAST_BYTES, documents, removed, written
+from glyphloom.llm.common import BROADCAST_BYTES, documents, heap_returned, removed, written
 from glyphloom.llm.tokens import vocabulary
 
 #: Epochs that the mix may repeat a document.
@@ -70,13 +71,21 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("lines", lines),
-    ("near_duplicates", near_duplicates),
-    ("mix", mix),
-    ("packed", packed),
-]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _light(stage: Stage) -> Stage:
+    """stage, which starts without the heap that the stages before it have left to the executors."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        heap_returned(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [(stage.__name__, _light(stage)) for stage in (language, lines, near_duplicates, mix, packed)]
 
 #: SQL can't express the classifier, the alignment or the packing; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None

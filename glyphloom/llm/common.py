@@ -72,6 +72,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def heap_returned(spark: SparkSession) -> None:
+    """Driver and executors collect garbage now and give the heap back that finished jobs have left them: a JVM grows to its limit
+    otherwise, so that the memory of all jobs of a session adds up. One small task for each core, which meets every executor that is idle."""
+    release(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """f for mapInArrow, after which the worker gives memory back that it no longer uses: workers outlive their tasks."""
 

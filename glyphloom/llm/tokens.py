@@ -2,14 +2,14 @@
 
 Both vocabularies cut a text into pre-tokens and merge within each of them only. So a worker cuts texts with numpy
 on their UTF-8 bytes, asks the merging model of the tokenizers library once for each distinct pre-token, and keeps those answers in a
-bounded cache under a 64-bit hash and length. Texts with characters outside printable ASCII, tab, newline, return and the Latin
+bounded cache, sorted by a 64-bit hash of bytes and length. Texts with characters outside printable ASCII, tab, newline, return and the Latin
 letters U+00C0-U+024F, with an apostrophe (contractions) or with '<|' (special tokens) go whole to the library.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,7 +67,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # hashes in ascending order, and the row of each in at and size
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -82,7 +82,14 @@ class Encoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
-    def _learn(self, keys: list[int], words: list[bytes]) -> None:
+    def _rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, self.rows[i], -1)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         blank = [i for i, w in enumerate(words) if not w.strip()]
         full = [i for i, w in enumerate(words) if w.strip()]
         flats, sizes = [], []
@@ -95,7 +102,7 @@ class Encoder:
             flats.append(ids)
             sizes.append([len(ids)])
         ids, size = np.concatenate(flats), np.concatenate(sizes)
-        n, m = len(self.known), len(size)
+        n, m = len(self.keys), len(size)
         assert m == len(words) and size.sum() == len(ids), "pre-tokens and ids don't agree"
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
@@ -105,7 +112,10 @@ class Encoder:
         self.size[n : n + m] = size
         self.at[n : n + m] = self.used + np.cumsum(size) - size
         self.used += len(ids)
-        self.known.update(zip([keys[i] for i in full + blank], range(n, n + m), strict=True))
+        new = keys[full + blank]
+        order = np.argsort(new)
+        into = np.searchsorted(self.keys, new[order])
+        self.keys, self.rows = np.insert(self.keys, into, new[order]), np.insert(self.rows, into, n + order)
 
     def _starts(self, data: np.ndarray, cls: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First bytes and ends of pre-tokens; edge marks the first byte of each text."""
@@ -145,7 +155,7 @@ class Encoder:
         n, m = len(offsets) - 1, len(data)
         if not m:
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        if len(self.known) > self.limit:
+        if len(self.keys) > self.limit:
             self._forget()
         cls = CLASSES[data]
         bad = cls == ALIEN
@@ -173,14 +183,13 @@ class Encoder:
         edge[offsets] = True
         starts, ends = self._starts(data, CLASSES[data], edge)
         codes, found = pd.factorize(self.hash(data, starts, ends))
-        keys = found.tolist()
-        row = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        row = self._rows_of(found)
         if len(missing := np.flatnonzero(row < 0)):
-            first = np.zeros(len(keys), np.int64)
+            first = np.zeros(len(found), np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at, text = first[missing], data.tobytes()
-            self._learn(found[missing].tolist(), [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            row[missing] = [self.known[k] for k in found[missing].tolist()]
+            self._learn(found[missing], [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            row[missing] = self._rows_of(found[missing])
         row = row[codes]
         size = self.size[row]
         total = np.concatenate([[0], np.cumsum(size)])

@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from glyphloom.llm import common
 from glyphloom.llm.tokens import vocabulary
 from tests.llm.test_line_dedup import brute
 from tests.llm.test_small import brute_components
@@ -94,3 +95,13 @@ def test_stages_against_brute_force(spark, folder):
 def test_an_empty_corpus(spark, folder, tmp_path):
     pq.write_table(pq.read_table(f"{folder}/documents.parquet").slice(0, 0), tmp_path / "documents.parquet")
     assert not corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_stages_start_on_a_heap_given_back(spark, folder, monkeypatch):
+    monkeypatch.setattr(common, "release", lambda spark: None)  # only what tasks collect counts
+    counts = getattr(getattr(spark._jvm.org.apache.spark.metrics, "GarbageCollectionMetrics$"), "MODULE$")
+    docs, full = spark.read.parquet(f"{folder}/documents.parquet"), lambda: list(counts.getMetricValues(None))[2]
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, folder)
+        assert full() >= before + spark.sparkContext.defaultParallelism, name

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -51,6 +52,18 @@ def test_encoder_equals_the_library(name, kind):
         assert e.tokenizer.encode(t, add_special_tokens=False).ids == ids[cut[i] : cut[i + 1]].tolist()
 
 
+def test_remembered_pre_tokens_are_small():
+    e = Encoder(vocabulary("word_bpe_49k.json"), "word")
+    text = " ".join(f"{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}y{chr(97 + i // 676 % 26)}z{chr(97 + i // 17576)}" for i in range(60_000)).encode()
+    tracemalloc.start()
+    ids, _ = e.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert ids.tolist() == e.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    n, before = len(e.at), tracemalloc.get_traced_memory()[0]
+    e._forget()
+    assert n >= 60_000 and (before - tracemalloc.get_traced_memory()[0]) / 60_000 < 100
+    tracemalloc.stop()
+
+
 def test_huffman_lengths_and_round_trip(spark, odd, empty, tmp_path):
     counts = np.array([0, 1, 1, 2, 4, 8, 1 << 20, 3])
     lengths = huffman.limited_lengths(counts, 5)
